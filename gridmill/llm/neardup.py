@@ -11,11 +11,12 @@ Large tight groups would fill every node, so the trees are used twice:
 
 1. Every node links its members to its least member. Pairs that meet so in several
    trees are confirmed, which joins a group of n copies by about n pairs.
-2. Nodes that still hold two components branch on; all their pairs from different
-   components that pass the sketch are confirmed.
+2. Nodes that still hold two components branch on. Components that come near by
+   sketch form groups, and the documents of a group are confirmed against each other.
 
-A node that no branching makes small is compared in blocks of fixed size: exact,
-with no task holding the node. Nothing is capped or sampled.
+A node or group that stays large is compared in pairs of blocks of fixed size: exact,
+with no task holding it, and each task passes on a forest of links instead of all
+pairs. Nothing is capped or sampled.
 
 A pair of similarity s shares a root with probability 1 - (1 - s)^12, beyond
 0.9999999 at 0.75; the sketch test lies five standard deviations below.
@@ -40,7 +41,8 @@ TREES = 12
 SKETCH = 128
 NODE = 256
 LEVELS = 4
-BLOCK = 1024
+#: Rows of a block, where a node or group is compared in pairs of blocks.
+BLOCK = 384
 #: Trees in which a member must meet the same least member to be confirmed in step 1.
 MEETINGS = 4
 #: Most ids that a broadcast may hold.
@@ -120,35 +122,56 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in a node (key) whose sketches come near."""
+def _least(percent: int) -> int:
+    """Equal sketch coordinates below which a pair is no candidate: five deviations under the threshold."""
     j = percent / 100
-    least = int(np.floor(SKETCH * (j - 5 * np.sqrt(j * (1 - j) / SKETCH))))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return int(np.floor(SKETCH * (j - 5 * np.sqrt(j * (1 - j) / SKETCH))))
+
+
+class _Unions:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _near(sketches: list[bytes], comps: np.ndarray, least: int):
+    """(i, js): for each row the later rows of other components whose sketches come near."""
+    s = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
+    for i in range(len(s) - 1):
+        other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
+        if len(other):
+            js = other[(s[other] == s[i]).sum(1) >= least]
+            if len(js):
+                yield i, js
 
-    def pairs(ids, comps, sketches):
-        s = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
-        ids, comps = np.array(ids), np.array(comps)
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero((comps[i + 1 :] != comps[i]) & ((s[i + 1 :] == s[i]).sum(1) >= least)) + i + 1
-            if len(near):
-                yield np.full(len(near), ids[i]), ids[near]
+
+def _by_key(rows: DataFrame, columns: list[str], work) -> DataFrame:
+    """Pairs (a, b: long) that ``work(lists of the columns)`` yields for each key's rows, streamed key by key."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it):
-        key, held, found = None, ([], [], []), []
+        key, held, found = None, [[] for _ in columns], []
+
+        def out():
+            a, b = zip(*found, strict=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
         def close():
             if len(held[0]) > 1:
-                found.extend(pairs(*held))
+                found.extend(work(*held))
             for h in held:
                 h.clear()
 
-        def out():
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            found.clear()
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
-
         for x in it:
             for k, *row in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if k != key:
@@ -156,13 +179,61 @@ def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     key = k
                 for h, v in zip(held, row, strict=True):
                     h.append(v)
-            if sum(len(f[0]) for f in found) > 200_000:
+            if len(found) > 100_000:
                 yield out()
         close()
         if found:
             yield out()
 
-    return rows.select("key", "id", "comp", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of components in a node (key) that near sketches connect; a spanning forest of them."""
+    least = _least(percent)
+
+    def work(comps, sketches):
+        u, c = _Unions(), np.array(comps)
+        for i, js in _near(sketches, c, least):
+            for j in js.tolist():
+                if u.join(comps[i], comps[j]):
+                    yield min(comps[i], comps[j]), max(comps[i], comps[j])
+
+    return _by_key(rows, ["comp", "sketch"], work)
+
+
+def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame, percent: int, size: int) -> DataFrame:
+    """Components (a, b) joined by a confirmed link, for groups of components near by sketch.
+
+    Every pair of a group's documents from different components is tested, by sketch
+    and then on full sets, unless links found in the same task already join their
+    components. A group larger than a block is cut into pairs of blocks, so its work
+    spreads over tasks and what leaves them is at most one link a component.
+    """
+    least = _least(percent)
+    members = reps.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(groups, "comp").select("id", "comp", "group", "sketch")
+    counts = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = materialize(members.join(counts, "group"))
+    few = members.count() <= BROADCAST_IDS // 10
+    rows = docs.join(F.broadcast(members) if few else members, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "*")
+    rows = rows.select(F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "comp", "sketch", "text")
+
+    def work(comps, sketches, texts):
+        u, c, sets = _Unions(), np.array(comps), {}
+
+        def of(i):
+            if i not in sets:
+                sets[i] = shingle_set(texts[i], size)
+            return sets[i]
+
+        for i, js in _near(sketches, c, least):
+            for j in js.tolist():
+                if u.root(comps[i]) != u.root(comps[j]) and similar(of(i), of(j), percent):
+                    u.join(comps[i], comps[j])
+                    yield min(comps[i], comps[j]), max(comps[i], comps[j])
+
+    return _by_key(rows, ["comp", "sketch", "text"], work)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -172,7 +243,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of all nodes: small ones at once, large ones by further branching."""
+    """Pairs of components that meet near each other in a node; large nodes branch on first."""
     rows = materialize(_mixed(nodes).join(reps.select("id", "sketch"), "id"))
     out = _node_pairs(rows.where(F.col("size") <= NODE), percent)
     for level in range(LEVELS):
@@ -210,10 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(first)
     comp = F.coalesce("component", "id")
     left = tokens.drop("a").join(first, "id", "left").select("key", "id", comp.alias("comp"))
-    pairs = materialize(_candidates(left, reps, percent).distinct())
-    links = confirm(docs, pairs, percent, size)
-    ends = [first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    groups = connected_components(_candidates(left, reps, percent)).select(F.col("id").alias("comp"), F.col("component").alias("group"))
+    links = _links(docs, reps, first, materialize(groups), percent, size)
     second = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("top"))
     named = first.join(second, "component", "left").select("id", F.coalesce("top", "component").alias("c1"))
     alone = second.select(F.col("component").alias("id"), F.col("top").alias("c2"))
