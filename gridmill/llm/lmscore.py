@@ -35,7 +35,7 @@ from .common import materialize, small_batches
 from .words import joined, mix, word_hashes
 
 #: Hash that stands for the end token; its preimage is no word.
-END = np.uint64(0x5EED0FE2D0C5)
+END = np.uint64(0x5EED0FE2D0C4)
 GROWTH = {1: 1.25, 2: 2.0}  # ratio of neighbouring levels, by order
 LEVELS = {1: 96, 2: 40}
 PROBES = 5
@@ -47,22 +47,29 @@ def level_of(counts: np.ndarray, order: int) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(GROWTH[order]) + 1e-9), LEVELS[order]).astype(np.int64)
 
 
+def _middle(order: int) -> np.ndarray:
+    """The middle of each level's counts; level 0 is absent."""
+    g, q = GROWTH[order], np.arange(LEVELS[order] + 1.0)
+    low = np.ceil(g ** np.maximum(q - 1, 0) - 1e-9)
+    high = np.maximum(low, np.ceil(g ** np.maximum(q, 1) - 1e-9) - 1)
+    return np.where(q > 0, (low + high) / 2, 0.0)
+
+
+_COUNT = {order: _middle(order) for order in GROWTH}
+
+
 def count_of(levels: np.ndarray, order: int) -> np.ndarray:
-    """The middle of a level's counts; level 0 is absent."""
-    g = GROWTH[order]
-    low = np.ceil(g ** np.maximum(levels - 1.0, 0) - 1e-9)
-    high = np.maximum(low, np.ceil(g ** np.maximum(levels, 1.0) - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    return _COUNT[order][levels]
 
 
-def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
+def _probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and stride of an item's probes inside a segment."""
     h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
+    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    return ((keys >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64)
 
 
 class Filter:
@@ -73,23 +80,26 @@ class Filter:
 
     @staticmethod
     def build(keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> np.ndarray:
-        out = np.zeros(segment_bits, bool)
+        out, mask = np.zeros(segment_bits, bool), np.uint64(segment_bits - 1)
         for q in range(1, int(levels.max()) + 1 if len(levels) else 1):
             keys, levels = keys[levels >= q], levels[levels >= q]
-            for at in _places(keys, q, segment_bits):
-                out[at] = True
+            at, stride = _probe(keys, q)
+            for _ in range(PROBES):
+                out[(at & mask).astype(np.int64)] = True
+                at = at + stride
         return np.packbits(out, bitorder="little")
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        base = segment_of(keys, self.segments) * self.segment_bits
-        live = np.arange(len(keys))
+        """Level of each key; a probe that misses ends its key's search at once."""
+        out, mask = np.zeros(len(keys), np.int64), np.uint64(self.segment_bits - 1)
+        live, base = np.arange(len(keys)), segment_of(keys, self.segments) * self.segment_bits
         for q in range(1, most + 1):
-            hit = np.ones(len(live), bool)
-            for at in _places(keys[live], q, self.segment_bits):
-                at = base[live] + at
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[hit]
+            at, stride = _probe(keys, q)
+            for _ in range(PROBES):
+                place = base + (at & mask).astype(np.int64)
+                hit = np.flatnonzero(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                keys, base, live, at, stride = keys[hit], base[hit], live[hit], at[hit], stride[hit]
+                at = at + stride
             if not len(live):
                 break
             out[live] = q
@@ -97,39 +107,46 @@ class Filter:
 
 
 def _with_end(text) -> np.ndarray:
-    return np.append(word_hashes(text), END)
+    return np.append(_tagged(word_hashes(text), 1), END)
+
 
+def _tagged(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys whose lowest bit tells unigrams from bigrams."""
+    return keys | np.uint64(1) if order == 2 else keys & ~np.uint64(1)
 
-def _bigrams(w: np.ndarray) -> np.ndarray:
-    """Hashes of (previous, word); the first word follows the end token."""
-    return joined([np.concatenate([[END], w[:-1]]).astype(np.uint64), w])
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(h, c) of the tagged unigrams and bigrams of all rows, single bigrams left out.
 
-def _counted(docs: DataFrame, order: int) -> DataFrame:
-    """(h, c) of the n-grams of all rows: combined a task, then summed over tasks."""
+    Counts are combined a task, then summed over tasks; a bigram seen once tells
+    nothing beyond its words.
+    """
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
     def run(it):
         held, size = [], 0
 
         def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            flat = np.concatenate(held)
+            prev = np.concatenate([[END], flat[:-1]]).astype(np.uint64)  # a document follows another's end token
+            for order, x in ((1, flat), (2, joined([prev, flat]))):
+                keys, counts = np.unique(_tagged(x, order), return_counts=True)
+                for a in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], schema=schema)
             held.clear()
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], schema=schema)
 
         for b in it:
             for t in b.column(0).to_pylist():
-                w = _with_end(t)
-                held.append(w if order == 1 else _bigrams(w))
-                size += len(w)
+                held.append(_with_end(t))
+                size += len(held[-1])
             if size > 6_000_000:
                 yield from out()
                 size = 0
         if held:
             yield from out()
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return rows.where((F.col("c") > 1) | (F.col("h").bitwiseAND(1) == 0))
 
 
 class Model:
@@ -147,7 +164,8 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits
     """(model, vocabulary table (h, c)) of all rows of ``docs``."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("t"))
-    vocab = materialize(_counted(texts, 1))
+    grams = materialize(_counted(texts))
+    vocab, pairs = grams.where(F.col("h").bitwiseAND(1) == 0), grams.where(F.col("h").bitwiseAND(1) == 1)
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
     # The head: every word whose count exceeds a bound that leaves at most ``head`` words.
@@ -159,8 +177,6 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits
             break
         words += r.n
     top = vocab.where(F.col("c") > bound).toArrow().sort_by("h") if n else None
-    # Two grams as stored: single ones carry no evidence beyond their words.
-    pairs = materialize(_counted(texts, 2).where("c > 1"))
     level = {k: F.least(F.lit(LEVELS[k]), F.lit(1) + F.floor(F.log(F.col("c").cast("double")) / math.log(GROWTH[k]) + 1e-9)) for k in GROWTH}
     items1 = int(vocab.agg(F.coalesce(F.sum(level[1]), F.lit(0))).first()[0])
     by_level = {int(r.q): (int(r.n), int(r.c)) for r in pairs.groupBy(level[2].alias("q")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
@@ -174,7 +190,7 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits
     kept -= 2 * once.get(2, 0) if least == 2 else 0  # without itself such a pair would not be stored
     weight = 0.95 * kept / n if n else 0.0
     grams = vocab.select("h", level[1].cast("long").alias("q")).unionByName(pairs.where(level[2] >= least).select("h", level[2].cast("long").alias("q")))
-    seg = F.pmod(F.shiftrightunsigned("h", 40), F.lit(segments))
+    seg = F.shiftright(F.shiftrightunsigned("h", 40) * segments, 24)
     rows = grams.select(seg.alias("seg"), "h", "q").repartition("seg").sortWithinPartitions("seg")
     out = pa.schema([("seg", pa.int64()), ("bits", pa.binary())])
 
@@ -214,13 +230,13 @@ def _score(model: Model, docs: list[np.ndarray]):
     exact = np.where(in_head, model.head_counts[k], 0) if len(model.head) else np.zeros(len(uni), np.int64)
     known = np.bincount(doc, in_head[at], len(docs)).astype(np.int64)
     base = np.bincount(doc, np.where(in_head, np.log10(exact + 1), 0.0)[at], len(docs))
-    about = np.where(in_head, exact, count_of(model.filter.levels(uni, LEVELS[1]), 1))
+    about = exact.astype(float)
+    about[~in_head] = count_of(model.filter.levels(_tagged(uni[~in_head], 1), LEVELS[1]), 1)
     p = (about[at] + 1) / model.total
     prev = np.concatenate([[END], flat[:-1]]).astype(np.uint64)
     starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
     prev[starts] = END
-    grams, g_at = np.unique(joined([prev, flat]), return_inverse=True)
-    pair = count_of(model.filter.levels(grams, LEVELS[2]), 2)[g_at]
+    pair = count_of(model.filter.levels(_tagged(joined([prev, flat]), 2), LEVELS[2]), 2)
     prev_at = np.concatenate([[0], at[:-1]])
     context = about[prev_at].astype(float)
     e = np.searchsorted(uni, END)

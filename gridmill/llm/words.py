@@ -1,37 +1,29 @@
 """Words and shingles as 64-bit hashes, shared by the operators on words.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; both rules are
-those of ``bytes.split`` and ``bytes.lower``, which see ASCII only.
+Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; ``bytes.lower``
+sees ASCII only, which is that rule. A word's hash is a polynomial in its bytes modulo
+2^64, taken for all words of a text at once from prefix sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_KEEP = 400_000
+_P = 0xD1342543DE82EF95
+_INVERSE = pow(_P, -1, 2**64)
+_BLANKS = frozenset((32, *range(9, 14)))
+_PIECE = 1 << 20
+_powers: dict[int, np.ndarray] = {}
 
 
-class _Hashes(dict):
-    """Word to hash; remembers words while the worker lives, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEEP:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def word_list(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = word_list(text)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1) modulo 2^64; kept while the worker lives."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+        have[0] = 1
+        have = _powers[base] = np.cumprod(have)
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +33,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pieces(raw: bytes):
+    """Parts of a long text, cut at blanks."""
+    at = 0
+    while len(raw) - at > _PIECE:
+        cut = at + _PIECE
+        while cut < len(raw) and raw[cut] not in _BLANKS:
+            cut += 1
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    out = []
+    for raw in _pieces((text or "").encode().lower()):
+        b = np.frombuffer(raw, np.uint8)
+        if not len(b):
+            continue
+        blank = np.ones(len(b) + 2, np.int8)
+        blank[1:-1] = (b == 32) | ((b - np.uint8(9)) < 5)
+        turn = blank[1:] - blank[:-1]
+        start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_P, len(b)), out=sums[1:])
+        out.append(mix((sums[end] - sums[start]) * _power(_INVERSE, len(b))[start]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def joined(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of equally long, aligned hash arrays, in order."""
     h = np.full(parts[0].shape, len(parts), np.uint64)
