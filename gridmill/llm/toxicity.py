@@ -75,6 +75,24 @@ def _grams(words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.n
     return ctx, full, word
 
 
+_GRAMS = pa.schema([("order", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("lower", pa.int64()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
+
+
+def gram_counts(toxic: Counter, ordinary: Counter) -> pa.Table:
+    """Counts of all n-grams of the words, each with its context and the n-gram one letter shorter."""
+    words = sorted(toxic.keys() | ordinary.keys()) or [b"x"]
+    weight = np.array([[c.get(w, 0) for w in words] for c in (toxic, ordinary)], np.float64)
+    ctx, full, word = _grams(words)
+    parts = []
+    for n in range(ORDER):
+        keys, first, at = np.unique(full[n], return_index=True, return_inverse=True)
+        counts = [np.bincount(at, w[word], len(keys)).astype(np.int64) for w in weight]
+        lower = full[n - 1][first] if n else np.zeros(len(keys), np.uint64)
+        cols = [np.full(len(keys), n, np.int32), keys.view(np.int64), ctx[n][first].view(np.int64), lower.view(np.int64), *counts]
+        parts.append(pa.Table.from_arrays([pa.array(c) for c in cols], schema=_GRAMS))
+    return pa.concat_tables(parts)
+
+
 @dataclass
 class _Level:
     keys: np.ndarray  # hashes of context plus letter
@@ -92,21 +110,25 @@ class Model:
 
     @classmethod
     def fit(cls, toxic: Counter, ordinary: Counter) -> Model:
-        words = sorted(toxic.keys() | ordinary.keys()) or [b"x"]
-        weight = np.array([[toxic.get(w, 0) for w in words], [ordinary.get(w, 0) for w in words]], np.float64)
-        ctx, full, word = _grams(words)
+        return cls.of_grams(gram_counts(toxic, ordinary))
+
+    @classmethod
+    def of_grams(cls, grams: pa.Table) -> Model:
+        """From the summed counts of all n-grams (order, key, ctx, lower, toxic, ordinary)."""
+        order, key, ctx, lower = (grams.column(c).to_numpy() for c in ("order", "key", "ctx", "lower"))
+        both = np.stack([grams.column(c).to_numpy().astype(np.float32) for c in ("toxic", "ordinary")])
         out = cls()
         for n in range(ORDER):
-            keys, first, at = np.unique(full[n], return_index=True, return_inverse=True)
-            if n >= SHARED:
-                counts = np.stack([np.bincount(at, weight[c][word], len(keys)) for c in (0, 1)])
-            else:  # continuation counts, pooled: in how many longer contexts the letter follows
-                _, longer = np.unique(full[n + 1], return_index=True)
-                counts = np.bincount(at[longer], minlength=len(keys)).astype(np.float64)[None].repeat(2, 0)
-            c_keys, c_at = np.unique(ctx[n][first], return_inverse=True)
+            at = np.flatnonzero(order == n)
+            at = at[np.argsort(key[at].view(np.uint64))]
+            keys, counts = key[at].view(np.uint64), both[:, at]
+            if n < SHARED:  # continuation counts, pooled: in how many longer contexts the letter follows
+                follows = np.searchsorted(keys, lower[order == n + 1].view(np.uint64))
+                counts = np.bincount(follows, minlength=len(keys)).astype(np.float32)[None].repeat(2, 0)
+            c_keys, c_at = np.unique(ctx[at].view(np.uint64), return_inverse=True)
             total = np.stack([np.bincount(c_at, counts[c], len(c_keys)) for c in (0, 1)])
             types = np.stack([np.bincount(c_at, np.minimum(counts[c], 1), len(c_keys)) for c in (0, 1)])
-            out.levels.append(_Level(keys, counts.astype(np.float32), c_keys, total.astype(np.float32), types.astype(np.float32)))
+            out.levels.append(_Level(keys, counts, c_keys, total.astype(np.float32), types.astype(np.float32)))
         return out
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
@@ -180,29 +202,29 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> Model:
     """Fit on the labelled rows of ``docs``, at most ``max_rows``, least id hashes first.
 
-    The words of the sample are counted on executors; the driver gets one row a
-    word of the sample.
+    The n-grams of the sample are counted on executors; the driver gets one row an
+    n-gram of letters, far fewer than words.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
     rows = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(rows), "_id")
-    schema = pa.schema([("y", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(it):
         c: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in it:
             for t, y in zip(b.column("_t").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 c[int(y)].update(set(tokens(t)))
-        for y, words in c.items():
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(words)), pa.array(list(words), pa.binary()), pa.array(list(words.values()))], schema=schema)
-
-    small_batches(docs.sparkSession)
-    got = sample.mapInArrow(count, "y long, word binary, n long").groupBy("y", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for y, w, n in zip(*(c.to_pylist() for c in got.columns), strict=True):
-        counts[y][w] = n
-    model = Model.fit(counts[1], counts[0])
+            if len(c[0]) > 100_000:
+                yield from gram_counts(c[1], c[0]).to_batches(50_000)
+                c = {0: Counter(), 1: Counter()}
+        if c[0] or c[1]:
+            yield from gram_counts(c[1], c[0]).to_batches(50_000)
+
+    small_batches(docs.sparkSession, 500)
+    kinds = "order int, key long, ctx long, lower long, toxic long, ordinary long"
+    grams = sample.mapInArrow(count, kinds).groupBy("order", "key").agg(F.any_value("ctx").alias("ctx"), F.any_value("lower").alias("lower"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    got = grams.toArrow()
+    model = Model.of_grams(got if got.num_rows else gram_counts(Counter(), Counter()))
     handle = docs.sparkSession.sparkContext.broadcast(model)
     out = pa.schema([("x", pa.float64()), ("y", pa.int64())])
 
