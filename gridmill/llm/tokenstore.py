@@ -18,6 +18,8 @@ document ids come first, repeated ids are kept side by side, ordered by text.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -126,42 +128,86 @@ class Shard:
         return [None] * self.head["nulls"] + (self._ids.values() + self.head["base"]).tolist()
 
 
-_CACHES: dict[str, tuple] = {}
-_CACHE_WORDS = 700_000
+_CACHES: dict[tuple, _Encoder] = {}
+#: Words of one generation of a worker's cache.
+_GENERATION = 350_000
+_SEPARATOR = "\x01"
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 
 
-def _encoder(path: str):
-    """(tokenizer, piece cache) of this worker; kept while the worker lives."""
-    if path not in _CACHES:
-        import os
+class _Encoder:
+    """The library's encoder behind a cache of words.
 
+    Words go to the library many at a time, as one text with a separator of known id
+    between them: one call instead of one a word. The cache keeps two generations, so
+    frequent words outlive rare ones in bounded memory.
+    """
+
+    def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _CACHES[path] = Tokenizer.from_file(path), {}
-    return _CACHES[path]
+        self.tok, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        between = self._ids(_SEPARATOR)
+        self.between = int(between[0]) if len(between) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, words: list[bytes]) -> None:
+        alone = [w for w in words if self.between is None or _SEPARATOR.encode() in w]
+        if alone:
+            gone = set(alone)
+            words = [w for w in words if w not in gone]
+            for w in alone:
+                self.new[w] = self._ids(w.decode()).tobytes()
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = self._ids(f" {_SEPARATOR} ".encode().join(part).decode())
+            ends = np.flatnonzero(ids == self.between)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            at = 0
+            for w, e in zip(part, [*(ends * size).tolist(), len(raw)], strict=True):
+                self.new[w] = raw[at:e]
+                at = e + size
+
+    def by_word(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(texts), 256):
+            split = []
+            for t in texts[a : a + 256]:
+                raw = _STOP.sub(r" \1", t).encode()
+                # Lower-casing before the library's own is exact without combining marks and special tokens.
+                if b"<|" not in raw and not _COMBINING.search(t):
+                    raw = raw.lower()
+                split.append(raw.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" "))
+            if len(self.new) > _GENERATION:
+                self.old, self.new = self.new, {}
+            miss = set().union(*split) - self.new.keys()
+            known = miss & self.old.keys()
+            self.new.update((w, self.old[w]) for w in known)
+            self._learn(list(miss - known))
+            get = self.new.__getitem__
+            out += [b"".join(map(get, ws)) for ws in split]
+        return out
 
 
 def encode_texts(texts: list[str], path: str, dtype: str, by_word: bool) -> list[bytes]:
     """Ids of each text, packed. With ``by_word`` pieces between blanks are encoded once and reused.
 
-    That is exact only for a tokenizer that drops white space and never merges
-    across it; the driver of the operator asks for it.
+    That is exact only for a tokenizer that lower-cases, drops white space, never merges
+    across it and parts letters from stops; the caller asks for it.
     """
-    tok, cache = _encoder(path)
-    if not by_word:
-        return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    out = []
-    for a in range(0, len(texts), 64):
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a : a + 64]]
-        miss = list({w for ws in split for w in ws} - cache.keys())
-        if len(cache) + len(miss) > _CACHE_WORDS:
-            cache.clear()
-            miss = list({w for ws in split for w in ws})
-        for w, e in zip(miss, tok.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype).tobytes()
-        out += [b"".join(map(cache.__getitem__, ws)) for ws in split]
-    return out
+    key = (path, dtype)
+    if key not in _CACHES:
+        _CACHES[key] = _Encoder(path, dtype)
+    enc = _CACHES[key]
+    if by_word:
+        return enc.by_word(texts)
+    return [np.array(e.ids, dtype).tobytes() for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, vocab: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", by_word: bool = False, shard_tokens: int = 4 << 20) -> list:
