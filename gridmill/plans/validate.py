@@ -50,7 +50,7 @@ class _Check:
                 return f"Forbidden function: {name}"
         if kind == "UnresolvedAttribute" and in_filter and _seq(e.nameParts())[-1].lower() in SCOPE_COLUMNS:
             self.scoped = True
-        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression") and (err := self.plan(e.plan(), scope)):
+        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression") and (err := self.plan(e.plan(), scope)):
             return err
         return next((err for c in _seq(e.children()) if (err := self.expression(c, scope, in_filter))), None)
 

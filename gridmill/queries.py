@@ -308,7 +308,7 @@ def catalog_candidates(spark, sf):
 def catalog_candidates_stemmed(spark, sf):
     f = catalog.with_fts(customer_facts(spark, sf))
     reg = f.groupBy("table_id").agg(F.max("row_index").alias("created_at"), F.lit(None).cast("string").alias("document_id"))
-    return catalog.candidates(reg, f, catalog.query_lexemes("which segments are building things")).select("table_id", "hits")
+    return catalog.candidates(reg, f, catalog.query_lexemes("all the buildings")).select("table_id", "hits")
 
 
 @query("SELECT p_brand AS table_id, list_sort(list(DISTINCT p_name))[1:5] AS sample_labels FROM part GROUP BY 1")
