@@ -30,12 +30,24 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate folders this process made; results read from them must be written first."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder, as a URI or path."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir() or _own_dir(spark)
-    return posixpath.join(root, f"gridmill-{uuid.uuid4().hex}")
+    _made.append(posixpath.join(root, f"gridmill-{uuid.uuid4().hex}"))
+    return _made[-1]
 
 
 def _own_dir(spark: SparkSession) -> str:

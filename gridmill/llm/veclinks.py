@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .components import connected_components
 
-SHARED = 64
+SHARED = 96
 BLOCKS = 2
 BLOCK = 512
 
@@ -78,54 +78,91 @@ def _usable(id_col: str, vec_col: str, label_col: str):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & finite, F.lit(False))
 
 
+def _linked(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of x link; values within rounding of the threshold are taken again one by one."""
+    norm = np.sqrt((x * x).sum(1))
+    cos = (x @ x.T) / (norm[:, None] * norm)
+    out = cos >= cosine
+    for i, j in zip(*np.nonzero(np.abs(cos - cosine) < 1e-12), strict=True):
+        out[i, j] = float(np.dot(x[min(i, j)], x[max(i, j)])) / (norm[min(i, j)] * norm[max(i, j)]) >= cosine
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _met_before(filters: list[np.ndarray], own: int) -> np.ndarray:
+    """Which rows share a filter that comes before ``own``."""
+    early = [f[: np.searchsorted(f, own)] for f in filters]
+    row = np.repeat(np.arange(len(early)), [len(f) for f in early])
+    _, at, times = np.unique(np.concatenate(early), return_inverse=True, return_counts=True)
+    twice = times > 1
+    column = np.cumsum(twice) - 1
+    keep = twice[at]
+    a = np.zeros((len(early), int(twice.sum())), np.float32)
+    a[row[keep], column[at[keep]]] = 1
+    return a @ a.T > 0
+
+
 def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """Linked pairs (a, b) inside each bucket (key), compared in double precision."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def links(ids, side, vecs):
-        ids, side = np.array(ids), np.array(side)
-        x = np.stack(vecs).astype(np.float64)
-        norm = np.sqrt((x * x).sum(1))
-        for i in range(0, len(ids), 256):
-            cos = (x[i : i + 256] @ x.T) / (norm[i : i + 256, None] * norm)
-            p, q = np.nonzero(cos >= cosine - 1e-9)
-            p = p + i
-            ok = ids[p] < ids[q]
-            for a, b in zip(p[ok], q[ok], strict=True):
-                if float(np.dot(x[a], x[b])) / (norm[a] * norm[b]) >= cosine:
-                    yield ids[a], ids[b]
+    """Per bucket (key) its vectors' new links: (cid, peer, others).
+
+    ``others`` counts a vector's linked partners, with their multiplicities, each pair in
+    the first filter that both share, so sums over buckets count it once; ``peer``
+    names the least vector of its linked group there. What a bucket yields is linear
+    in its vectors.
+    """
+    schema = pa.schema([("cid", pa.int64()), ("peer", pa.int64()), ("others", pa.int64())])
+
+    def work(own, cids, blocks, times, vecs, filters):
+        link = _linked(np.stack(vecs), cosine)
+        block = np.array(blocks)
+        if (block != block[0]).any():
+            link &= block[:, None] != block  # pairs inside a block have a task of their own
+        if not link.any():
+            return
+        low = np.arange(len(cids))
+        while True:
+            new = np.minimum(low, np.where(link, low, len(low)).min(1))
+            if (new == low).all():
+                break
+            low = new
+        count = (link & ~_met_before(filters, own)) @ np.array(times)
+        for i in np.flatnonzero(link.any(1)).tolist():
+            yield cids[i], cids[low[i]], int(count[i])
 
     def run(it):
-        key, held, found = None, ([], [], []), set()
+        key, held, found = None, [[] for _ in range(6)], []
 
         def close():
             if len(held[0]) > 1:
-                found.update(links(*held))
+                found.extend(work(held[0][0], *held[1:]))
             for h in held:
                 h.clear()
 
         def out():
-            a, b = zip(*found, strict=True)
+            cols = list(zip(*found, strict=True))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+
+        def slices(column):
+            flat, off = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            return [flat[a:b] for a, b in zip(off, off[1:], strict=False)]
 
         for x in it:
-            vecs = x.column("v")
-            flat = vecs.values.to_numpy(zero_copy_only=False)
-            off = vecs.offsets.to_numpy()
-            for n, (k, i, s) in enumerate(zip(x.column("key").to_pylist(), x.column("cid").to_pylist(), x.column("side").to_pylist(), strict=True)):
+            plain = [x.column(c).to_pylist() for c in ("key", "filter", "cid", "block", "n")]
+            for k, *row in zip(*plain, slices(x.column("v")), slices(x.column("filters")), strict=True):
                 if k != key:
                     close()
                     key = k
-                    if len(found) > 100_000:
-                        yield out()
-                for h, value in zip(held, (i, s, flat[off[n] : off[n + 1]]), strict=True):
+                for h, value in zip(held, row, strict=True):
                     h.append(value)
+            if len(found) > 50_000:
+                yield out()
         close()
         if found:
             yield out()
 
-    return rows.select("key", "cid", "side", "v").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("key", "filter", "cid", "block", "n", "v", "filters").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "cid long, peer long, others long")
 
 
 def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
@@ -138,35 +175,30 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     rows = materialize(rows.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("v"))), 256)))
     classes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
-    linked = None
+    found = None
     for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # a row a length of vectors
         caps = plan_caps(r.n, r.dim, cosine)
-        schema = pa.schema([("filter", pa.int64()), ("cid", pa.int64())])
 
         def decode(it, caps=caps):
             for b in it:
-                if b.num_rows:
-                    ids, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
-                    got = [caps.decode(x / np.sqrt((x * x).sum())) for x in (np.array(v) for v in vs)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(ids, np.int64), [len(g) for g in got]))], schema=schema)
-
-        own = classes.where(F.size("v") == r.dim)
-        member = own.select("cid", "v").mapInArrow(decode, "filter long, cid long").join(own.select("cid", "label"), "cid").select(F.xxhash64("filter", "label").alias("bucket"), "cid")
-        member = materialize(member)
-        sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        put = member.join(sizes, "bucket")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("cid"), blocks)
-        one = put.where(F.col("size") <= BLOCK).select(F.col("bucket").alias("key"), "cid", F.lit(0).alias("side"))
-        many = put.where(F.col("size") > BLOCK).select("bucket", "cid", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        many = many.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "cid", F.lit(0).alias("side"))
-        pairs = _bucket_links(one.unionByName(many).join(own.select("cid", "v"), "cid"), cosine)
-        linked = pairs if linked is None else linked.unionByName(pairs)
-    if linked is None:
-        linked = df.sparkSession.createDataFrame([], "a long, b long")
-    linked = materialize(linked)
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    count = both.join(classes.select(F.col("cid").alias("b"), "n"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
+                got = [np.sort(caps.decode(x / np.sqrt((x * x).sum()))) for x in (np.array(v) for v in b.column("v").to_pylist())]
+                yield b.append_column("filters", pa.array(got, pa.list_(pa.int64())))
+
+        own = classes.where(F.size("v") == r.dim).select("cid", "label", "n", "v")
+        own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v array<double>, filters array<long>"))
+        member = own.select("cid", "label", F.explode("filters").alias("filter"))
+        sizes = member.groupBy("filter", "label").agg(F.count("*").alias("size")).where("size > 1")
+        put = member.join(sizes, ["filter", "label"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        put = put.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        put = put.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        put = put.select("cid", "filter", "block", F.xxhash64("filter", "label", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+        links = _bucket_links(put.join(own.select("cid", "n", "v", "filters"), "cid"), cosine)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "cid long, peer long, others long")
+    found = materialize(found.groupBy("cid", "peer").agg(F.sum("others").alias("others")))
+    count = found.groupBy("cid").agg(F.sum("others").alias("others"))
+    linked = found.select(F.col("cid").alias("a"), F.col("peer").alias("b"))
     comp = connected_components(linked).withColumnRenamed("id", "cid")
     named = materialize(classes.select("key", "cid", "n", "low").join(count, "cid", "left").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
