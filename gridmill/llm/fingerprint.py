@@ -6,12 +6,13 @@ table says so. Two texts an edit apart fall back into step after it, so few edit
 leave few differing emissions: edit distance becomes Hamming distance
 (Chakraborty, Goldenberg and Koucky 2016).
 
-The embedding is sampled at ``COORDINATES`` coordinates. Each draws the step with
+An embedding is sampled at ``COORDINATES`` coordinates. Each draws the step with
 the least shared random rank among the steps that the walk takes, so texts of
 about one length sample the same steps and a longer one shares them in proportion.
 A coordinate is one hex digit of the fingerprint, a hash of the emitted character;
-``-`` stands for an empty text. ``likeness`` is the share of equal coordinates,
-corrected for chance.
+``-`` stands for an empty text. How long a walk takes to fall into step varies
+widely, so ``WALKS`` independent ones are kept, and ``likeness`` is the best of them:
+the share of equal coordinates, corrected for chance.
 
 ``near_pairs`` bands sampled coordinates, joins equal bands and verifies
 candidates on all coordinates.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-COORDINATES = 256
+WALKS = 3
+COORDINATES = 128  # of each walk
 #: Steps after which the shared table of moves repeats.
 PERIOD = 4096
 _END = 256  # symbol behind every text; the cursor never leaves it
@@ -43,18 +45,18 @@ CHANCE = 0.125
 
 
 @cache
-def _moves() -> np.ndarray:
-    bits = np.random.default_rng(20240607).integers(0, 2, (PERIOD, 257)).astype(np.int64)
+def _moves(walk: int) -> np.ndarray:
+    bits = np.random.default_rng((20240607, walk)).integers(0, 2, (PERIOD, 257)).astype(np.int64)
     bits[:, _END] = 0
     return bits
 
 
 @cache
-def _records(limit: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _records(walk: int, limit: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Steps below ``limit`` at which some coordinate's rank falls, and those coordinates."""
     at: dict[int, list[int]] = {}
     for b in range(COORDINATES):
-        rng, low, base = np.random.default_rng((7, b)), np.inf, 0
+        rng, low, base = np.random.default_rng((7, walk, b)), np.inf, 0
         while base < limit:
             ranks = rng.random(65536)
             best = np.minimum.accumulate(np.minimum(ranks, low))
@@ -78,24 +80,11 @@ def _symbols(text: str) -> np.ndarray:
     return np.where(cp < 256, cp, (cp * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint16)
 
 
-def _walk(texts: list[str]) -> list[str]:
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    order = [i for i in order if texts[i]]
-    out = ["-"] * len(texts)
-    if not order:
-        return out
-    parts = []
-    for i in order:
-        parts += [_symbols(texts[i]), np.array([_END], np.uint16)]
-    flat = np.concatenate(parts)
-    del parts
-    lens = np.array([len(texts[i]) for i in order], np.int64)
-    pos = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    got = np.zeros((COORDINATES, len(order)), np.uint8)
-    moves, digit = _moves(), _digit()
-    limit = 1 << int(4 * lens[0] + 1024).bit_length()
-    steps, which = _records(limit)
-    live, j, r = len(order), 0, 0
+def _sample(flat: np.ndarray, pos: np.ndarray, walk: int, limit: int, got: np.ndarray) -> None:
+    """One walk over all texts, longest first, from cursors ``pos``; fills the coordinates ``got``."""
+    moves, digit = _moves(walk), _digit()
+    steps, which = _records(walk, limit)
+    live, j, r = len(pos), 0, 0
     while live:
         p = pos[:live]
         for j in range(j, j + 256):
@@ -110,6 +99,25 @@ def _walk(texts: list[str]) -> list[str]:
         j += 1
         left = np.flatnonzero(flat.take(p) != _END)
         live = int(left[-1]) + 1 if len(left) else 0
+
+
+def _walk(texts: list[str]) -> list[str]:
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    order = [i for i in order if texts[i]]
+    out = ["-"] * len(texts)
+    if not order:
+        return out
+    parts = []
+    for i in order:
+        parts += [_symbols(texts[i]), np.array([_END], np.uint16)]
+    flat = np.concatenate(parts)
+    del parts
+    lens = np.array([len(texts[i]) for i in order], np.int64)
+    start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
+    got = np.zeros((WALKS * COORDINATES, len(order)), np.uint8)
+    limit = 1 << int(4 * lens[0] + 1024).bit_length()
+    for walk in range(WALKS):
+        _sample(flat, start.copy(), walk, limit, got[walk * COORDINATES : (walk + 1) * COORDINATES])
     hexes = np.frombuffer(b"0123456789abcdef", np.uint8)[got.T]
     for k, i in enumerate(order):
         out[i] = hexes[k].tobytes().decode()
@@ -131,8 +139,9 @@ def fingerprints(texts: list[str]) -> list[str]:
 def likeness(x: str, y: str) -> float:
     if "-" in (x, y):
         return float(x == y)
-    same = np.count_nonzero(np.frombuffer(x.encode(), np.uint8) == np.frombuffer(y.encode(), np.uint8))
-    return max(0.0, (same / COORDINATES - CHANCE) / (1 - CHANCE))
+    same = np.frombuffer(x.encode(), np.uint8) == np.frombuffer(y.encode(), np.uint8)
+    best = int(same.reshape(WALKS, COORDINATES).sum(1).max())
+    return max(0.0, (best / COORDINATES - CHANCE) / (1 - CHANCE))
 
 
 def _blocks(it, column: str):
@@ -173,12 +182,16 @@ def near_pairs(prints: DataFrame, id_col: str = "doc_id", min_likeness: float =
     """
     rng = np.random.default_rng(5)
     reps = prints.where("fingerprint <> '-'").groupBy("fingerprint").agg(F.min(id_col).alias("id"))
-    band = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(c) + 1, 1) for c in rng.choice(COORDINATES, width, replace=False)]) for k in range(bands)]
+    band = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(c) + 1, 1) for c in rng.choice(WALKS * COORDINATES, width, replace=False)]) for k in range(bands)]
     rows = reps.select("id", "fingerprint", F.explode(F.array(*band)).alias("band"))
     x, y = rows.alias("x"), rows.alias("y")
     cand = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.fingerprint").alias("fa"), F.col("y.fingerprint").alias("fb")).distinct()
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda n, i: n + (F.substring("fa", i, 1) == F.substring("fb", i, 1)).cast("int"))
-    score = F.greatest(F.lit(0.0), (same / F.lit(float(COORDINATES)) - CHANCE) / (1 - CHANCE))
+    def same(walk: int):
+        at = F.sequence(F.lit(walk * COORDINATES + 1), F.lit((walk + 1) * COORDINATES))
+        return F.aggregate(at, F.lit(0), lambda n, i: n + (F.substring("fa", i, 1) == F.substring("fb", i, 1)).cast("int"))
+
+    best = F.greatest(*[same(w) for w in range(WALKS)])
+    score = F.greatest(F.lit(0.0), (best / F.lit(float(COORDINATES)) - CHANCE) / (1 - CHANCE))
     return cand.select("a", "b", score.alias("likeness")).where(F.col("likeness") >= min_likeness)
 
 
@@ -210,4 +223,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         rows = rows.select("part", F.lit(False).alias("ghost"), "id", "text").unionByName(ghosts)
     else:
         rows = rows.select("part", F.lit(False).alias("ghost"), "id", "text")
-    return rows.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "ghost", F.col("id").asc_nulls_first(), "text")
+    return rows.repartitionById(firsts[-1][0] + 1 if firsts else 1, F.col("part")).sortWithinPartitions("part", "ghost", F.col("id").asc_nulls_first(), "text")
