@@ -130,10 +130,12 @@ class Shard:
 
 _CACHES: dict[tuple, _Encoder] = {}
 #: Words of one generation of a worker's cache.
-_GENERATION = 350_000
+_GENERATION = 400_000
 _SEPARATOR = "\x01"
-_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
+#: UTF-8 of combining marks begins with these bytes.
+_COMBINING = re.compile(rb"[\xcc\xcd]|\xe1[\xaa\xab\xb7]|\xe2\x83|\xef\xb8")
+_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
+_BLANKS_LOWER = bytes(_BLANKS).lower()
 
 
 class _Encoder:
@@ -146,50 +148,74 @@ class _Encoder:
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # Lower-case ASCII letters pass normalisation unchanged: the same model without those steps.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.tok, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         between = self._ids(_SEPARATOR)
         self.between = int(between[0]) if len(between) == 1 else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def _learn(self, words: list[bytes]) -> None:
-        alone = [w for w in words if self.between is None or _SEPARATOR.encode() in w]
-        if alone:
-            gone = set(alone)
-            words = [w for w in words if w not in gone]
-            for w in alone:
-                self.new[w] = self._ids(w.decode()).tobytes()
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            ids = self._ids(f" {_SEPARATOR} ".encode().join(part).decode())
-            ends = np.flatnonzero(ids == self.between)
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            at = 0
-            for w, e in zip(part, [*(ends * size).tolist(), len(raw)], strict=True):
-                self.new[w] = raw[at:e]
-                at = e + size
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str, bare: bool = False) -> np.ndarray:
+        return np.array((self.bare if bare else self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _whole(self, words: list[str], bare: bool = False) -> list[bytes] | None:
+        """Ids of words of letters alone, each ending in one word-end token; None if that fails."""
+        ids = self._ids(" ".join(words), bare)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        raw, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [raw[a:e] for a, e in zip([0, *cuts], cuts, strict=False)]
+
+    def _parted(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, by a separator of known id between them."""
+        if self.between is None or any(_SEPARATOR in w for w in words):
+            return [self._ids(w).tobytes() for w in words]
+        ids = self._ids(f" {_SEPARATOR} ".join(words))
+        raw, size, ends = ids.tobytes(), self.dtype.itemsize, np.flatnonzero(ids == self.between)
+        return [raw[a:e] for a, e in zip([0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)], strict=True)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Add words to the cache. A stop behind a letter or digit is a piece of its own."""
+        stopped = [w for w in words if w.endswith((b".", b",")) and len(w) > 1 and w[:-1].decode().lower()[-1].isalnum()]
+        plain = words.difference(stopped)
+        plain.update(w[:-1] for w in stopped)
+        plain.update((b".", b","))
+        ascii_words, letters, others = [], [], []
+        for w in plain.difference(self.new):
+            if w.isalpha() and w.islower():  # of bytes: ASCII only
+                ascii_words.append(w.decode())
+            else:
+                t = w.decode()
+                (letters if t.isalpha() else others).append(t)
+        for group, encode in ((ascii_words, lambda x: self._whole(x, True)), (letters, self._whole), (others, self._parted)):
+            for a in range(0, len(group), 2000):
+                part = group[a : a + 2000]
+                self.new.update(zip((w.encode() for w in part), encode(part) or self._parted(part), strict=True))
+        for w in stopped:
+            self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
 
     def by_word(self, texts: list[str]) -> list[bytes]:
         out = []
         for a in range(0, len(texts), 256):
             split = []
             for t in texts[a : a + 256]:
-                raw = _STOP.sub(r" \1", t).encode()
+                raw = t.encode()
                 # Lower-casing before the library's own is exact without combining marks and special tokens.
-                if b"<|" not in raw and not _COMBINING.search(t):
-                    raw = raw.lower()
-                split.append(raw.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" "))
+                split.append(raw.translate(_BLANKS if b"<|" in raw or (not raw.isascii() and _COMBINING.search(raw)) else _BLANKS_LOWER).split(b" "))
             if len(self.new) > _GENERATION:
                 self.old, self.new = self.new, {}
-            miss = set().union(*split) - self.new.keys()
-            known = miss & self.old.keys()
-            self.new.update((w, self.old[w]) for w in known)
-            self._learn(list(miss - known))
+            miss = set().union(*split).difference(self.new)
+            again = [w for w in miss if w in self.old]
+            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            self._learn(miss.difference(again))
             get = self.new.__getitem__
             out += [b"".join(map(get, ws)) for ws in split]
         return out
