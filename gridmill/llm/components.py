@@ -15,7 +15,7 @@ from .common import materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v; the result keeps that form, without repeats."""
+    """edges (u, v) with u > v; the result keeps that form, perhaps with repeats."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,4 +38,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = tuple(mark)
-        now = materialize(_star(_star(now, True), False))
+        now = materialize(_star(_star(now, True), False).distinct())

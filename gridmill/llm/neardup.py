@@ -10,9 +10,10 @@ exhaustively on sketches, candidates are confirmed on full shingle sets.
 Large tight groups would fill every node, so the trees are used twice:
 
 1. Every node links its members to its least member. Pairs that meet so in several
-   trees are confirmed, which joins a group of n copies by about n pairs.
-2. Nodes that still hold two components branch on. Components that come near by
-   sketch form groups, and the documents of a group are confirmed against each other.
+   trees and come near by sketch are confirmed, which joins n copies by about n pairs.
+   Components that an unconfirmed one connects form a group.
+2. Nodes that still hold two groups branch on, and groups that come near by sketch
+   join. The documents of a group are confirmed against each other.
 
 A node or group that stays large is compared in pairs of blocks of fixed size: exact,
 with no task holding it, and each task passes on a forest of links instead of all
@@ -236,6 +237,26 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
     return _by_key(rows, ["comp", "sketch", "text"], work)
 
 
+def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches come near."""
+    least = _least(percent)
+    rows = pairs.join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").select("a", "b", "sa", "sb")
+
+    def run(it):
+        for x in it:
+            if x.num_rows:
+                sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("sa", "sb"))
+                yield x.select(["a", "b"]).filter(pa.array((sa == sb).sum(1) >= least))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _renamed(pairs: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with both ends replaced by their name, where they have one."""
+    ends = [names.select(F.col("id").alias(c), F.col(column).alias(f"n{c}")) for c in "ab"]
+    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold two components at least, with the node's size."""
     nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
@@ -274,15 +295,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = reps.select("id", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "id")
     nodes = tokens.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     tokens = materialize(tokens.join(nodes, "key"))
-    stars = materialize(tokens.where("a <> id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= MEETINGS).select("a", "b"))
+    stars = tokens.where("a <> id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= MEETINGS).select("a", "b")
+    stars = materialize(_near_pairs(stars, reps, percent))
     # Rows that share an id are one document even if their sets differ.
     same_id = sets.select(F.col("id").alias("b"), "key").join(groups, "key").select(F.col("rep").alias("a"), "b").where("a <> b")
-    first = connected_components(confirm(docs, stars, percent, size).unionByName(same_id.distinct()))
-    first = materialize(first)
-    comp = F.coalesce("component", "id")
-    left = tokens.drop("a").join(first, "id", "left").select("key", "id", comp.alias("comp"))
-    groups = connected_components(_candidates(left, reps, percent)).select(F.col("id").alias("comp"), F.col("component").alias("group"))
-    links = _links(docs, reps, first, materialize(groups), percent, size)
+    first = materialize(connected_components(confirm(docs, stars, percent, size).unionByName(same_id.distinct())))
+    # Components that a near but unconfirmed pair connects are one group from here on: a
+    # node that holds a single group has nothing to add.
+    open_pairs = materialize(_renamed(stars, first, "component").where("a <> b").distinct())
+    group = materialize(connected_components(open_pairs))
+    left = tokens.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    left = left.join(group.withColumnsRenamed({"id": "c", "component": "g"}), "c", "left").select("key", "id", F.coalesce("g", "c").alias("comp"))
+    more = materialize(_candidates(left, reps, percent).distinct())
+    if not more.isEmpty():
+        group = materialize(connected_components(open_pairs.unionByName(more)))
+    links = _links(docs, reps, first, group.withColumnsRenamed({"id": "comp", "component": "group"}), percent, size)
     second = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("top"))
     named = first.join(second, "component", "left").select("id", F.coalesce("top", "component").alias("c1"))
     alone = second.select(F.col("component").alias("id"), F.col("top").alias("c2"))
