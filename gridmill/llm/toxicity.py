@@ -34,8 +34,12 @@ from .common import batches, crc_mod, small_batches
 from .words import mix
 
 ORDER = 6
+#: Parts of the sample, each scored by a model of the others to fit the score's parameters.
+FOLDS = 5
 SHARED = 2
 DISCOUNT = 0.75
+#: A letter speaks for toxicity only if toxic texts showed it after this many letters at least, so often.
+SUPPORT, SUPPORT_COUNT = 4, 3
 #: Words of a passage and how much evidence one word may give.
 PASSAGE = 24
 WORD_LIMIT = 4.0
@@ -137,15 +141,19 @@ class Model:
             return np.zeros(0)
         ctx, full, word = _grams(words)
         p = np.full((2, len(word)), 1 / 256)
+        support = np.zeros(len(word))
         for n, lv in enumerate(self.levels):
             k = np.minimum(np.searchsorted(lv.keys, full[n]), len(lv.keys) - 1)
             c = np.minimum(np.searchsorted(lv.ctx, ctx[n]), len(lv.ctx) - 1)
             count = np.where(lv.keys[k] == full[n], lv.counts[:, k], 0)
+            if n >= SUPPORT:
+                support = np.maximum(support, count[0])
             seen = lv.ctx[c] == ctx[n]
             total, types = np.where(seen, lv.total[:, c], 0), np.where(seen, lv.types[:, c], 0)
             safe = np.maximum(total, 1e-9)
             p = np.where(total > 0, np.maximum(count - DISCOUNT, 0) / safe + np.minimum(DISCOUNT * types, total) / safe * p, p)
         ratio = np.log(p[0]) - np.log(p[1])
+        ratio = np.where(support >= SUPPORT_COUNT, ratio, np.minimum(ratio, 0.0))
         return np.bincount(word, ratio, len(words)) / np.bincount(word, minlength=len(words))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -203,36 +211,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows of ``docs``, at most ``max_rows``, least id hashes first.
 
     The n-grams of the sample are counted on executors; the driver gets one row an
-    n-gram of letters, far fewer than words.
+    n-gram of letters, far fewer than words. Each fold of the sample is scored by
+    a model of the others to fit the two parameters, so they hold for texts that the
+    model has not seen.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
     rows = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    rows = rows.withColumn("_f", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int"))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(rows), "_id")
 
     def count(it):
-        c: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        def flush(c):
+            for f in range(FOLDS):
+                if c[f, 0] or c[f, 1]:
+                    t = gram_counts(c[f, 1], c[f, 0])
+                    yield from t.add_column(0, pa.field("fold", pa.int32()), pa.array(np.full(t.num_rows, f, np.int32))).to_batches(50_000)
+
+        c = {(f, y): Counter() for f in range(FOLDS) for y in (0, 1)}
         for b in it:
-            for t, y in zip(b.column("_t").to_pylist(), b.column("_y").to_pylist(), strict=True):
-                c[int(y)].update(set(tokens(t)))
-            if len(c[0]) > 100_000:
-                yield from gram_counts(c[1], c[0]).to_batches(50_000)
-                c = {0: Counter(), 1: Counter()}
-        if c[0] or c[1]:
-            yield from gram_counts(c[1], c[0]).to_batches(50_000)
+            for t, y, f in zip(*(b.column(k).to_pylist() for k in ("_t", "_y", "_f")), strict=True):
+                c[f, int(y)].update(set(tokens(t)))
+            if sum(map(len, c.values())) > 100_000:
+                yield from flush(c)
+                c = {k: Counter() for k in c}
+        yield from flush(c)
 
     small_batches(docs.sparkSession, 500)
-    kinds = "order int, key long, ctx long, lower long, toxic long, ordinary long"
-    grams = sample.mapInArrow(count, kinds).groupBy("order", "key").agg(F.any_value("ctx").alias("ctx"), F.any_value("lower").alias("lower"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    got = grams.toArrow()
-    model = Model.of_grams(got if got.num_rows else gram_counts(Counter(), Counter()))
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = "fold int, order int, key long, ctx long, lower long, toxic long, ordinary long"
+    by = [F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "ordinary")]
+    got = sample.mapInArrow(count, kinds).groupBy("order", "key").agg(F.any_value("ctx").alias("ctx"), F.any_value("lower").alias("lower"), *by).na.fill(0).toArrow()
+
+    def counted(folds) -> Model:
+        cols = [got.column(c) for c in ("order", "key", "ctx", "lower")]
+        for c in ("toxic", "ordinary"):
+            cols.append(pa.array(sum(got.column(f"{c}{f}").to_numpy() for f in folds)))
+        t = pa.Table.from_arrays([x.cast(f.type) for x, f in zip(cols, _GRAMS, strict=True)], schema=_GRAMS)
+        t = t.filter(pa.array(t.column("toxic").to_numpy() + t.column("ordinary").to_numpy() > 0))
+        return Model.of_grams(t if t.num_rows else gram_counts(Counter(), Counter()))
+
+    model = counted(range(FOLDS))
+    handle = docs.sparkSession.sparkContext.broadcast({f: counted([k for k in range(FOLDS) if k != f]) for f in range(FOLDS)})
     out = pa.schema([("x", pa.float64()), ("y", pa.int64())])
 
     def evidence(it):
-        s = Scorer(handle.value)
-        yield from batches(it, out, lambda b: [s.passages(b.column("_t").to_pylist()), b.column("_y").cast(pa.int64())])
+        scorers = {f: Scorer(m) for f, m in handle.value.items()}
+        for b in it:
+            for f, s in scorers.items():
+                part = b.filter(pa.array(b.column("_f").to_numpy() == f))
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(s.passages(part.column("_t").to_pylist())), part.column("_y").cast(pa.int64())], schema=out)
 
-    t = sample.select("_t", "_y").mapInArrow(evidence, "x double, y long").toArrow()
+    t = sample.select("_t", "_y", "_f").mapInArrow(evidence, "x double, y long").toArrow()
     x, y = t.column(0).to_numpy(), t.column(1).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.slope, model.shift = _calibrate(x, y)
