@@ -195,6 +195,14 @@ def near_pairs(prints: DataFrame, id_col: str = "doc_id", min_likeness: float =
     return cand.select("a", "b", score.alias("likeness")).where(F.col("likeness") >= min_likeness)
 
 
+def _rank(cuts: list[int], base: int = 0):
+    """How many of the ascending cuts the id reaches; a tree of comparisons, NULL for a null id."""
+    if not cuts:
+        return F.when(F.col("id").isNotNull(), F.lit(base))
+    m = len(cuts) // 2
+    return F.when(F.col("id") < cuts[m], _rank(cuts[:m], base)).when(F.col("id") >= cuts[m], _rank(cuts[m + 1 :], base + m + 1))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_task: int = 4000) -> DataFrame:
     """Neighbours in ascending id order, within id ranges that overlap by one row.
 
@@ -207,10 +215,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     parts = max(1, min(4096, -(-n // rows_a_task)))
     cuts = [] if parts == 1 else sorted({c for c in ids.where("id is not null").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)})
     # Part k holds ids in [cuts[k-1], cuts[k]); null ids sort first.
-    part = F.lit(0)
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    if bounds is not None:
-        part = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("id"))), F.lit(0))
+    part = F.coalesce(_rank([int(c) for c in cuts]), F.lit(0))
+    if cuts:
         firsts = sorted((r.part, r.low) for r in ids.withColumn("part", part).groupBy("part").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("low")).collect())
     else:
         firsts = [(0, r.low) for r in ids.agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("low")).collect() if r.low is not None]
@@ -219,7 +225,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     key = F.coalesce("id", F.lit(-(2**63)))
     if before:
         to = F.create_map(*[F.lit(x) for low, k in before.items() for x in (low, k)])
-        ghosts = rows.where(key.isin(list(before))).select(F.element_at(to, key).alias("part"), F.lit(True).alias("ghost"), "id", "text")
+        plain = [low for low in before if low != -(2**63)]  # a filter that reaches the scan
+        ghosts = rows.where(F.col("id").isin(plain) | (F.col("id").isNull() if len(plain) < len(before) else F.lit(False))).select(F.element_at(to, key).alias("part"), F.lit(True).alias("ghost"), "id", "text")
         rows = rows.select("part", F.lit(False).alias("ghost"), "id", "text").unionByName(ghosts)
     else:
         rows = rows.select("part", F.lit(False).alias("ghost"), "id", "text")
