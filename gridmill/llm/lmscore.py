@@ -139,7 +139,7 @@ def _counted(docs: DataFrame) -> DataFrame:
             for t in b.column(0).to_pylist():
                 held.append(_with_end(t))
                 size += len(held[-1])
-            if size > 6_000_000:
+            if size > 2_500_000:
                 yield from out()
                 size = 0
         if held:
