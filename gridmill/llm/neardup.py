@@ -3,7 +3,7 @@
 Documents with equal shingle sets collapse first; every later step sees one
 representative a set. Each of ``TREES`` independent trees branches the
 representatives by minwise tokens: at the root by the tree's least token, and a node
-that is still too large by further minwise tokens, two branches at a time, so that
+that is too large by further minwise tokens, two branches at a time, so that
 a similar pair survives a level with high probability. Small nodes are compared
 exhaustively on sketches, candidates are confirmed on full shingle sets.
 
@@ -12,10 +12,10 @@ Large tight groups would fill every node, so the trees are used twice:
 1. Every node links its members to its least member. Pairs that meet so in several
    trees and come near by sketch are confirmed, which joins n copies by about n pairs.
    Components that an unconfirmed one connects form a group.
-2. Nodes that still hold two groups branch on, and groups that come near by sketch
-   join. The documents of a group are confirmed against each other.
+2. Nodes that still hold two groups are compared, the largest after branching on, and
+   groups that come near by sketch join. The documents of a group are confirmed against each other.
 
-A node or group that stays large is compared in pairs of blocks of fixed size: exact,
+A node or group beyond a block is compared in pairs of blocks of fixed size: exact,
 with no task holding it, and each task passes on a forest of links instead of all
 pairs. Nothing is capped or sampled.
 
@@ -40,10 +40,10 @@ from .words import shingle_set
 
 TREES = 12
 SKETCH = 128
-NODE = 256
 LEVELS = 4
-#: Rows of a block, where a node or group is compared in pairs of blocks.
-BLOCK = 384
+#: Rows of a block, where a group is compared in pairs of blocks with its texts, and a
+#: node with its sketches. A node of more than so many blocks branches on first.
+BLOCK, NODE_BLOCK, NODE_BLOCKS = 384, 768, 8
 #: Trees in which a member must meet the same least member to be confirmed in step 1.
 MEETINGS = 4
 #: Most ids that a broadcast may hold.
@@ -264,20 +264,28 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of components that meet near each other in a node; large nodes branch on first."""
+    """Pairs of components that meet near each other in a node; the largest nodes branch on first."""
     rows = materialize(_mixed(nodes).join(reps.select("id", "sketch"), "id"))
-    out = _node_pairs(rows.where(F.col("size") <= NODE), percent)
+    few = F.col("size") <= NODE_BLOCKS * NODE_BLOCK
+    out = _node_pairs(_in_blocks(rows.where(few)), percent)
     for level in range(LEVELS):
-        large = rows.where(F.col("size") > NODE)
+        large = rows.where(~few)
         if large.isEmpty():
             return out
         coords = [TREES + 2 * level, TREES + 2 * level + 1]
         child = [F.xxhash64("key", F.lit(c), F.substring("sketch", 2 * c + 1, 2)) for c in coords]
         rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "id", "comp", "sketch")))
-        out = out.unionByName(_node_pairs(rows.where(F.col("size") <= NODE), percent))
-    large = rows.where(F.col("size") > NODE).withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    pairs = large.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "*").select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "comp", "sketch")
-    return out.unionByName(_node_pairs(pairs, percent))
+        out = out.unionByName(_node_pairs(_in_blocks(rows.where(few)), percent))
+    return out.unionByName(_node_pairs(_in_blocks(rows.where(~few)), percent))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows keyed by pairs of blocks of their node; a node of one block keeps its key."""
+    blocks = F.ceil(F.col("size") / NODE_BLOCK).cast("int")
+    one = rows.where(F.col("size") <= NODE_BLOCK).select("key", "id", "comp", "sketch")
+    many = rows.where(F.col("size") > NODE_BLOCK).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    many = many.select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "*")
+    return one.unionByName(many.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "comp", "sketch"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5) -> DataFrame:

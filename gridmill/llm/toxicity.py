@@ -16,7 +16,8 @@ The models are fitted on at most ``max_rows`` labelled rows, drawn by the hash o
 id. Every document is scored whole in one narrow pass; only the n-gram table, bounded
 by that sample, is broadcast.
 
-Defined cases: null = empty text; it scores like a passage without evidence; a document
+Defined cases: null = empty text; it scores like a passage without evidence, which
+is the least score; a document
 with several labels counts as toxic if one of them is.
 """
 
@@ -187,7 +188,7 @@ class Scorer:
                     last[ws[k]] = k
                 s = np.concatenate([[0.0], np.cumsum(v)])
                 w = min(PASSAGE, len(v))
-                out[i] = (s[w:] - s[:-w]).max() / PASSAGE
+                out[i] = max(0.0, (s[w:] - s[:-w]).max() / PASSAGE)
         return out
 
 

