@@ -7,22 +7,22 @@ continuation counts pooled over them, so an expression that is rare in both gets
 same mass from both and no evidence arises from the classes' sizes. Counts are
 numbers of documents that hold a word.
 
-A word's evidence is its log-likelihood ratio per character. A document's evidence is
-that of its most toxic passage, normalised by the passage's length: a fixed
-number of words, so that neither long documents dilute an insult nor short ones
-exaggerate it. Two parameters map it to (0, 1), fitted on the training rows.
+A word's evidence is its log-likelihood ratio per character. A document shows that of
+its most toxic passage, normalised by the passage's length, a fixed number of words,
+so that neither long documents dilute an insult nor short ones exaggerate it; and that
+of its few strongest words, wherever they stand. A logistic map takes both to (0, 1).
 
 The models are fitted on at most ``max_rows`` labelled rows, drawn by the hash of the
 id. Every document is scored whole in one narrow pass; only the n-gram table, bounded
 by that sample, is broadcast.
 
-Defined cases: null = empty text; it scores like a passage without evidence, which
-is the least score; a document
+Defined cases: null = empty text; it scores like a text without evidence; a document
 with several labels counts as toxic if one of them is.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -43,7 +43,10 @@ DISCOUNT = 0.75
 SUPPORT, SUPPORT_COUNT = 4, 3
 #: Words of a passage and how much evidence one word may give.
 PASSAGE = 24
-WORD_LIMIT = 4.0
+WORD_LIMIT, WORD_FLOOR = 4.0, -0.05
+#: Strongest distinct words of a text that are averaged.
+STRONGEST = 4
+LENGTH = 0.05
 #: Evidence above which a word counts once in a passage, however often it stands there.
 REPEATED = 0.1
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -110,7 +113,7 @@ class _Level:
 @dataclass
 class Model:
     levels: list[_Level] = field(default_factory=list)
-    slope: float = 1.0
+    weights: tuple[float, ...] = (0.0, 0.0)
     shift: float = 0.0
 
     @classmethod
@@ -158,7 +161,7 @@ class Model:
         return np.bincount(word, ratio, len(words)) / np.bincount(word, minlength=len(words))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.shift, -30, 30)))
 
 
 class Scorer:
@@ -167,8 +170,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def passages(self, texts: list[str | None]) -> np.ndarray:
-        """The strongest passage evidence of each text."""
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text its strongest passage's evidence and that of its strongest words, less what length alone brings."""
         split = [tokens(t) for t in texts]
         new = list({w for ws in split for w in ws} - self.known.keys())
         if len(self.known) + len(new) > 500_000:
@@ -176,8 +179,8 @@ class Scorer:
             new = list({w for ws in split for w in ws})
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.known.update(zip(part, np.clip(self.model.evidence(part), -WORD_LIMIT, WORD_LIMIT).tolist(), strict=True))
-        out = np.zeros(len(texts))
+            self.known.update(zip(part, np.clip(self.model.evidence(part), WORD_FLOOR, WORD_LIMIT).tolist(), strict=True))
+        out = np.zeros((len(texts), 2))
         for i, ws in enumerate(split):
             v = np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws))
             if len(v):
@@ -188,24 +191,27 @@ class Scorer:
                     last[ws[k]] = k
                 s = np.concatenate([[0.0], np.cumsum(v)])
                 w = min(PASSAGE, len(v))
-                out[i] = max(0.0, (s[w:] - s[:-w]).max() / PASSAGE)
+                out[i, 0] = max(0.0, (s[w:] - s[:-w]).max() / PASSAGE)
+                top = sorted(map(self.known.__getitem__, set(ws)), reverse=True)[:STRONGEST]
+                out[i, 1] = sum(x for x in top if x > 0) / STRONGEST
+            out[i, 1] -= LENGTH * math.log(len(v) + 10)
         return out
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of two parameters by Newton steps, lightly regularised, classes as they occur."""
-    scale = max(float(np.std(x)), 1e-6)
-    z = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic fit by Newton steps, lightly regularised, classes as they occur: (weights, shift)."""
+    scale = np.maximum(x.std(0), 1e-6)
+    z = np.concatenate([x / scale, np.ones((len(x), 1))], 1)
+    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (y - p) - 0.01 * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple((w[:-1] / scale).tolist()), float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> Model:
@@ -213,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The n-grams of the sample are counted on executors; the driver gets one row an
     n-gram of letters, far fewer than words. Each fold of the sample is scored by
-    a model of the others to fit the two parameters, so they hold for texts that the
+    a model of the others to fit the logistic map, so it holds for texts that the
     model has not seen.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
@@ -252,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     model = counted(range(FOLDS))
     handle = docs.sparkSession.sparkContext.broadcast({f: counted([k for k in range(FOLDS) if k != f]) for f in range(FOLDS)})
-    out = pa.schema([("x", pa.float64()), ("y", pa.int64())])
+    out = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())])
 
     def evidence(it):
         scorers = {f: Scorer(m) for f, m in handle.value.items()}
@@ -260,14 +266,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for f, s in scorers.items():
                 part = b.filter(pa.array(b.column("_f").to_numpy() == f))
                 if part.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(s.passages(part.column("_t").to_pylist())), part.column("_y").cast(pa.int64())], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.features(part.column("_t").to_pylist()).tolist(), out.field("x").type), part.column("_y").cast(pa.int64())], schema=out)
 
-    t = sample.select("_t", "_y", "_f").mapInArrow(evidence, "x double, y long").toArrow()
-    x, y = t.column(0).to_numpy(), t.column(1).to_numpy().astype(float)
+    t = sample.select("_t", "_y", "_f").mapInArrow(evidence, "x array<double>, y long").toArrow()
+    x, y = np.array(t.column(0).to_pylist(), float).reshape(-1, 2), t.column(1).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.slope, model.shift = _calibrate(x, y)
+        model.weights, model.shift = _calibrate(x, y)
     elif len(y):
-        model.slope, model.shift = 0.0, 5.0 if y[0] else -5.0
+        model.shift = 5.0 if y[0] else -5.0
     return model
 
 
@@ -282,7 +288,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
         s = Scorer(handle.value)
         for b in it:
             if b.num_rows:
-                yield b.append_column(score_col, pa.array(s.model.score(s.passages(b.column(text_col).to_pylist()))))
+                yield b.append_column(score_col, pa.array(s.model.score(s.features(b.column(text_col).to_pylist()))))
 
     return rest.mapInArrow(run, schema)
 
