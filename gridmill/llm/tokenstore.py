@@ -130,7 +130,7 @@ class Shard:
 
 _CACHES: dict[tuple, _Encoder] = {}
 #: Words of one generation of a worker's cache.
-_GENERATION = 400_000
+_GENERATION = 600_000
 _SEPARATOR = "\x01"
 #: UTF-8 of combining marks begins with these bytes.
 _COMBINING = re.compile(rb"[\xcc\xcd]|\xe1[\xaa\xab\xb7]|\xe2\x83|\xef\xb8")
