@@ -36,7 +36,7 @@ from .words import mix
 
 ORDER = 6
 #: Parts of the sample, each scored by a model of the others to fit the score's parameters.
-FOLDS = 5
+FOLDS = 3
 SHARED = 2
 DISCOUNT = 0.75
 #: A letter speaks for toxicity only if toxic texts showed it after this many letters at least, so often.
@@ -269,6 +269,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([pa.array(s.features(part.column("_t").to_pylist()).tolist(), out.field("x").type), part.column("_y").cast(pa.int64())], schema=out)
 
     t = sample.select("_t", "_y", "_f").mapInArrow(evidence, "x array<double>, y long").toArrow()
+    handle.destroy()
+    del got
+    pa.default_memory_pool().release_unused()
     x, y = np.array(t.column(0).to_pylist(), float).reshape(-1, 2), t.column(1).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.weights, model.shift = _calibrate(x, y)
