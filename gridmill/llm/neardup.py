@@ -4,7 +4,8 @@ Documents with equal shingle sets collapse first; every later step sees one
 representative a set. Each of ``TREES`` independent trees branches the
 representatives by minwise tokens: at the root by the tree's least token, and a node
 that is too large by further minwise tokens, two branches at a time, so that
-a similar pair survives a level with high probability. Small nodes are compared
+a similar pair survives a level with high probability. No two trees branch by the
+same tokens at any level, so what one tree loses another keeps. Small nodes are compared
 exhaustively on sketches, candidates are confirmed on full shingle sets.
 
 Large tight groups would fill every node, so the trees are used twice:
@@ -17,10 +18,12 @@ Large tight groups would fill every node, so the trees are used twice:
 
 A node or group beyond a block is compared in pairs of blocks of fixed size: exact,
 with no task holding it, and each task passes on a forest of links instead of all
-pairs. Nothing is capped or sampled.
+pairs. No node or group is capped or sampled.
 
 A pair of similarity s shares a root with probability 1 - (1 - s)^12, beyond
-0.9999999 at 0.75; the sketch test lies five standard deviations below.
+0.9999999 at 0.75. If all its roots are nodes that branch on to the last level, a tree
+keeps it with s (1 - (1 - s)^2)^4 and the twelve together with 0.99997 at 0.75 and
+0.999998 at 0.8. The sketch test lies five standard deviations below.
 
 Defined cases: null or blank texts have an empty set and link with nothing; rows that
 share an id are one document; null ids link with nothing (component null, kept).
@@ -40,6 +43,7 @@ from .words import shingle_set
 
 TREES = 12
 SKETCH = 128
+#: Levels below the root; each takes two sketch coordinates of a tree's own, so TREES * (1 + 2 * LEVELS) <= SKETCH.
 LEVELS = 4
 #: Rows of a block, where a group is compared in pairs of blocks with its texts, and a
 #: node with its sketches. A node of more than so many blocks branches on first.
@@ -272,9 +276,9 @@ def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         large = rows.where(~few)
         if large.isEmpty():
             return out
-        coords = [TREES + 2 * level, TREES + 2 * level + 1]
-        child = [F.xxhash64("key", F.lit(c), F.substring("sketch", 2 * c + 1, 2)) for c in coords]
-        rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "id", "comp", "sketch")))
+        first = TREES + 2 * (LEVELS * F.col("tree") + level)  # the tree's own pair of coordinates
+        child = [F.xxhash64("key", F.lit(i), F.substring("sketch", 2 * (first + i) + 1, F.lit(2))) for i in (0, 1)]
+        rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "sketch")))
         out = out.unionByName(_node_pairs(_in_blocks(rows.where(few)), percent))
     return out.unionByName(_node_pairs(_in_blocks(rows.where(~few)), percent))
 
@@ -300,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.where("key is not null and id is not null")
     groups = sets.groupBy("key").agg(F.min("id").alias("rep"))
     reps = materialize(sets.join(groups.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "mins", "sketch"))
-    tokens = reps.select("id", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "id")
+    tokens = reps.select("id", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "tree", "id")
     nodes = tokens.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     tokens = materialize(tokens.join(nodes, "key"))
     stars = tokens.where("a <> id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= MEETINGS).select("a", "b")
@@ -312,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # node that holds a single group has nothing to add.
     open_pairs = materialize(_renamed(stars, first, "component").where("a <> b").distinct())
     group = materialize(connected_components(open_pairs))
-    left = tokens.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    left = left.join(group.withColumnsRenamed({"id": "c", "component": "g"}), "c", "left").select("key", "id", F.coalesce("g", "c").alias("comp"))
+    left = tokens.select("key", "tree", "id").join(first, "id", "left").select("key", "tree", "id", F.coalesce("component", "id").alias("c"))
+    left = left.join(group.withColumnsRenamed({"id": "c", "component": "g"}), "c", "left").select("key", "tree", "id", F.coalesce("g", "c").alias("comp"))
     more = materialize(_candidates(left, reps, percent).distinct())
     if not more.isEmpty():
         group = materialize(connected_components(open_pairs.unionByName(more)))

@@ -64,6 +64,17 @@ def test_against_brute_force(spark, monkeypatch, node, block, levels):
     assert got == brute(rows)
 
 
+def test_trees_branch_apart(spark, monkeypatch):
+    """Every shared root is beyond the limit and branches to the last level; no tree may lose what all lose."""
+    monkeypatch.setattr(neardup, "NODE_BLOCK", 1)
+    monkeypatch.setattr(neardup, "NODE_BLOCKS", 1)
+    monkeypatch.setattr(neardup, "MEETINGS", neardup.TREES + 1)
+    words = [[f"d{i}w{k}" for k in range(117)] for i in range(300)]
+    rows = [(2 * i + k, " ".join(w[13 * k : 13 * k + 104])) for i, w in enumerate(words) for k in (0, 1)]  # 87 of 113 shingles
+    got = {r.id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_chains_and_repeated_rows(spark):
     w = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(w[i * 8 : i * 8 + 100])) for i in range(8)] * 2
