@@ -167,11 +167,18 @@ def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[in
     return edits, bare
 
 
+def _marked(text: str) -> bool:
+    """Whether an at/dot transducer would edit the text; asks the transducers themselves."""
+    if " dot " in text.lower():
+        return True
+    return any(c in text for c in "[({<@_") and bool(_AT_MARK.search(text) or _DOT_MARK.search(text))  # each form holds one of these
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans in source offsets that show only in the rewritten text."""
     odd = bool(_SUSPECT.search(text))
     low = text.lower()
-    marks = any(x in low for x in ("at)", "at]", "at}", "at>", " @ ", "@)", "@]", "_at_", "dot)", "dot]", "dot}", " dot ", "_dot_", "(.)", "[.]", "arobase"))
+    marks = _marked(text)
     spelled = bool(_SPELLED_HINT.search(low))
     if not (odd or marks or spelled):
         return []

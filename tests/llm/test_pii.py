@@ -50,6 +50,20 @@ def test_disguises_map_back_to_source():
     assert ("ip", "１９２.168.0.1") in found("at １９２.168.0.1")
 
 
+def test_gate_is_as_wide_as_the_transducers(monkeypatch):
+    blanks = [(a, b) for a in ("", " ", "\t") for b in ("", " ", "\t")]
+    pairs = [(x, y) for x in "[({<" for y in "])}>"]
+    at = [f"{a}{x}{b}{w}{b}{y}{a}" for a, b in blanks for x, y in pairs for w in ("at", "AT", "@", "arobase")]
+    at += [f"{a}{m}{b}" for a, b in blanks for m in ("_at_", "_At_")] + [" @ ", "\t@ ", " @\t", "\t@\t"]
+    dot = [f"{a}{x}{b}{w}{b}{y}{a}" for a, b in blanks for x, y in pairs for w in ("dot", "DOT", ".", "point", "punkt", "punto")]
+    dot += [f"{a}{m}{b}" for a, b in blanks for m in ("_dot_", "_Dot_")]
+    texts = [f"mail jo{m}example.com" for m in at] + [f"mail jo@example{m}com" for m in dot] + ["mail jo at example dot com", "mail jo@example dot com", "mail jo AT example DOT com"]
+    gated = [pii.all_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_marked", lambda t: True, raising=False)
+    for t, got in zip(texts, gated, strict=True):
+        assert got == pii.all_spans(t) and ("email", 5, len(t)) in got[1], t
+
+
 def test_clean_text_stays_clean():
     for t in ("", "Look at the polka dot dress at noon.", "one two buckle my shoe", "We arrive at example dot", "naïve café at 10", "version 1.2.3", "Über ж мир", "between one and ten at most"):
         assert pii.all_spans(t)[1] == [], t
