@@ -1,8 +1,10 @@
 """Embedding near-duplicates by spherical-cap filters.
 
 Filter directions form random product codes: the space is cut into blocks, each
-block has its own Gaussian codewords, and a direction is one codeword a block. Several
-independent codes even out how many directions a vector reaches. A
+block has its own Gaussian codewords, and a direction is one codeword a block. Each
+code turns the space by a random rotation of its own before the cut, so that no vector
+has its norm in one block however its coordinates lie. Several independent codes even
+out how many directions a vector reaches. A
 vector belongs to every direction whose inner product with it reaches the cap's
 height; list decoding finds those without trying all directions, by extending
 partial products only while the best remaining codewords can still reach the
@@ -22,6 +24,7 @@ never link; rows that share an id count as separate vectors.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,13 @@ CODES = 8
 BLOCK = 512
 
 
+@cache
+def _rotation(dim: int, code: int) -> np.ndarray:
+    """A fixed random orthogonal matrix, made where it is used."""
+    q, r = np.linalg.qr(np.random.default_rng((2718, dim, code)).standard_normal((dim, dim)))
+    return q * np.where(np.diag(r) < 0, -1.0, 1.0)
+
+
 class Caps:
     """Product codes for vectors of one dimension."""
 
@@ -49,7 +59,7 @@ class Caps:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Ascending indices of all directions whose inner product with the unit vector x reaches the height."""
         size = self.words ** (len(self.cuts) - 1)
-        return np.concatenate([k * size + np.sort(self._decode(code, x)) for k, code in enumerate(self.codes)])
+        return np.concatenate([k * size + np.sort(self._decode(code, _rotation(len(x), k) @ x)) for k, code in enumerate(self.codes)])
 
     def _decode(self, code: list[np.ndarray], x: np.ndarray) -> np.ndarray:
         dots = [c @ x[a:b] for c, a, b in zip(code, self.cuts, self.cuts[1:], strict=False)]

@@ -205,3 +205,19 @@ def test_filters_lose_no_link(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, near]))]
     got = veclinks.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert got.where("n_links >= 1").count() == 3000
+
+
+@pytest.mark.parametrize("n", [5000, 35_000])
+@pytest.mark.parametrize("kind", ["first half", "last half", "sparse", "decaying"])
+def test_one_sided_vectors_share_filters(n, kind):
+    """Pairs just above the threshold whose norm is not spread over the dimensions."""
+    r, dim = np.random.default_rng(13), 64
+    scale = {"first half": np.arange(dim) < 32, "last half": np.arange(dim) >= 32, "sparse": np.arange(dim) % 16 == 0, "decaying": 0.8 ** np.arange(dim)}[kind].astype(float)
+    caps, missed = veclinks.plan_caps(n, dim, 0.98), 0
+    for _ in range(400):
+        a, b = r.standard_normal((2, dim)) * scale
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b *= math.sqrt(1 - 0.9802**2) / np.linalg.norm(b)
+        missed += not len(np.intersect1d(caps.decode(a), caps.decode(0.9802 * a + b)))
+    assert missed == 0
