@@ -21,7 +21,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -73,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
     """All base spans, by kind as in KINDS, then by start."""
     out = _emails(text) if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
@@ -91,7 +95,7 @@ _SUSPECT = re.compile("[" + "".join(_LOOKALIKES) + _INVISIBLE + _DASHES + " ․
 _SPELLED = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))} | {"oh": "0", "nought": "0"}
 _WORDS = "|".join(_SPELLED)
 _GAP = r"[ \t\n,.-]{1,3}"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus{_GAP})?(?:{_WORDS}|[0-9]+)(?:{_GAP}(?:(?:double|triple){_GAP})?(?:{_WORDS}|dot|point|[0-9]+))+(?![A-Za-z])")
+_SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus{_GAP})?(?:{_WORDS}|(?<![0-9])[0-9]++)(?:{_GAP}(?:(?:double|triple){_GAP})?(?:{_WORDS}|dot|point|[0-9]++))+(?![A-Za-z])")
 _SPELLED_ITEM = re.compile(rf"(?i)plus|double|triple|dot|point|{_WORDS}|[0-9]+")
 _SPELLED_HINT = re.compile(rf"(?i)\b(?:{_WORDS})\b")
 # Endings that an address in words must have besides two-letter ones.
@@ -99,39 +103,42 @@ _TLD = r"(?:[A-Za-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|example|test|i
 _L, _R = r"[\[({<]", r"[\])}>]"
 _AT_MARK = re.compile(rf"(?i)[ \t]?{_L}[ \t]?(?:at|@|arobase)[ \t]?{_R}[ \t]?|[ \t]@[ \t]|[ \t]?_at_[ \t]?")
 _DOT_MARK = re.compile(rf"(?i)[ \t]?{_L}[ \t]?(?:dot|\.|point|punkt|punto)[ \t]?{_R}[ \t]?|[ \t]?_dot_[ \t]?")
-_WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+)*(?: at |@)(?:[A-Za-z0-9-]+(?: dot |\.))+{_TLD}(?![A-Za-z0-9-])")
+# An address in words: a chain of words is read once, then what follows its at.
+_CHAIN = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]++(?:(?: dot (?!at )|\.)[A-Za-z0-9_%+-]++)*+")
+_TO_DOMAIN = re.compile(rf"(?i)(?: at |@)(?:[A-Za-z0-9-]++(?: dot |\.))+{_TLD}(?![A-Za-z0-9-])")
 _WORD_SIGN = re.compile(r"(?i) at | dot ")
 
 
 class Mapped:
     """A rewritten text and, for each of its characters, the source span behind it."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text = text
-        self.start = start if start is not None else list(range(len(text)))
-        self.end = end if end is not None else list(range(1, len(text) + 1))
+        self.start = np.arange(len(text)) if start is None else start
+        self.end = np.arange(1, len(text) + 1) if end is None else end
 
     def replace(self, edits: list[tuple[int, int, str]]) -> Mapped:
-        """Apply ordered, disjoint edits (from, to, new text)."""
+        """Apply ordered, disjoint edits (from, to, new text); what an edit writes stands for all it replaces."""
         if not edits:
             return self
-        text, start, end, at = [], [], [], 0
+        text, cuts, at = [], [], 0  # cuts: (length, first and last character behind it, whether it is kept)
         for a, b, new in edits:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            if b > a:
-                text.append(new)
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
+            text += [self.text[at:a], new]
+            cuts += [(a - at, at, 0, 1), (len(new), a, b - 1, 0)]
             at = b
         text.append(self.text[at:])
-        return Mapped("".join(text), start + self.start[at:], end + self.end[at:])
+        cuts.append((len(self.text) - at, at, 0, 1))
+        size, first, last, kept = np.array(cuts, np.int64).T
+        cut = np.repeat(np.arange(len(cuts)), size)
+        inside = np.arange(len(cut)) - np.repeat(np.cumsum(size) - size, size)
+        here = first[cut] + inside * kept[cut]
+        return Mapped("".join(text), self.start[here], self.end[np.where(kept[cut] == 1, here, last[cut])])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
 
 
+@cache
 def _fold(c: str) -> str:
     if c in _LOOKALIKES:
         return _LOOKALIKES[c]
@@ -145,8 +152,8 @@ def _fold(c: str) -> str:
     return str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
 
 
-def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """Edits of spelled digit runs, and the source runs that hold a bare number of 9 to 19 digits."""
+def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Edits of spelled digit runs, and those that make a bare number of 9 to 19 digits."""
     edits, bare = [], []
     for m in _SPELLED_RUN.finditer(text):
         items = [x.lower() for x in _SPELLED_ITEM.findall(m[0])]
@@ -163,7 +170,7 @@ def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[in
         new = "".join(out)
         edits.append((m.start(), m.end(), new))
         if spelled >= 7 and new.isdigit() and 9 <= len(new) <= 19:
-            bare.append((m.start(), m.end()))
+            bare.append(edits[-1])
     return edits, bare
 
 
@@ -174,6 +181,20 @@ def _marked(text: str) -> bool:
     return any(c in text for c in "[({<@_") and bool(_AT_MARK.search(text) or _DOT_MARK.search(text))  # each form holds one of these
 
 
+def _worded_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Where at and dot stand for signs: in addresses that spell a dot, read from left to right."""
+    low, at = text.lower(), 0
+    if " dot " not in low:
+        return
+    while chain := _CHAIN.search(text, at):
+        at = chain.end()
+        if not (rest := _TO_DOMAIN.match(text, at)):
+            continue
+        at = rest.end()
+        if " dot " in text[chain.start() : at].lower():
+            yield from (x.span() for x in _WORD_SIGN.finditer(text, chain.start(), at))
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans in source offsets that show only in the rewritten text."""
     odd = bool(_SUSPECT.search(text))
@@ -187,8 +208,7 @@ def disguised_spans(text: str) -> list[Span]:
         m = m.replace([(x.start(), x.end(), _fold(x[0])) for x in _SUSPECT.finditer(text) if _fold(x[0]) != x[0]])
     found: list[Span] = []
     edits, bare = _spelled_edits(m.text) if odd or spelled else ([], [])
-    for a, b in bare:
-        d = next(new for x, _, new in edits if x == a)
+    for a, b, d in bare:
         if len(d) >= 13 and _luhn(d):
             found.append(("card", *m.source(a, b)))
         elif len(d) <= 15:
@@ -197,10 +217,7 @@ def disguised_spans(text: str) -> list[Span]:
     if odd or marks:
         m = m.replace([(x.start(), x.end(), "@") for x in _AT_MARK.finditer(m.text)])
         m = m.replace([(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(m.text)])
-        worded = []
-        for x in _WORDED.finditer(m.text):
-            if " dot " in (s := x[0].lower()) and (" at " in s or "@" in s):
-                worded += [(x.start() + y.start(), x.start() + y.end(), "@" if y[0].strip().lower() == "at" else ".") for y in _WORD_SIGN.finditer(x[0])]
+        worded = [(a, b, "@" if "at" in m.text[a:b].lower() else ".") for a, b in _worded_signs(m.text)]
         m = m.replace(worded)
     for kind, a, b in base_spans(m.text):
         found.append((kind, *m.source(a, b)))
@@ -210,7 +227,15 @@ def disguised_spans(text: str) -> list[Span]:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans); each by kind, then start."""
     base = base_spans(text)
-    more = [s for s in disguised_spans(text) if not any(b[0] == s[0] and b[1] <= s[1] and s[2] <= b[2] for b in base)]
+    starts = {k: [b[1] for b in base if b[0] == k] for k in KINDS}
+    ends = {k: [b[2] for b in base if b[0] == k] for k in KINDS}
+
+    def covered(kind: str, a: int, b: int) -> bool:
+        """By a base span of its kind; those are disjoint and ascend, so the last that begins no later decides."""
+        i = bisect_right(starts[kind], a) - 1
+        return i >= 0 and b <= ends[kind][i]
+
+    more = [s for s in disguised_spans(text) if not covered(*s)]
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted({*base, *more}, key=lambda s: (order[s[0]], s[1], s[2]))
 
