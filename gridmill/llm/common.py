@@ -1,8 +1,9 @@
 """Helpers shared by the corpus operators: shared storage, lineage cuts, small maths.
 
 Intermediate tables and binary files go below ``spark.checkpoint.dir``, the one
-folder the driver and all executors share; a private temporary folder is used
-only where that setting is absent, as in tests.
+folder the driver and all executors share. Where it is unset a local master gets a
+temporary folder of its own; a cluster gets an error, since its executors would write
+to disks that no other machine sees.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; bounds a worker's memory for long texts.
-BATCH_ROWS = 2000
+#: Most rows and bytes of one Arrow batch handed to Python; they bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,31 +29,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lower the bounds on this session's Arrow batches to what the operators plan for; never raise them."""
+    conf = "spark.sql.execution.arrow."
+    if not 0 < int(spark.conf.get(conf + "maxRecordsPerBatch")) <= rows:
+        spark.conf.set(conf + "maxRecordsPerBatch", str(rows))
+    now = spark.conf.get(conf + "maxBytesPerBatch").lower().rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(conf + "maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
-_made: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate folders this process made; results read from them must be written first."""
-    conf = spark._jsc.hadoopConfiguration()
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete, at the end of the block, the shared folders made inside it.
+
+    Yields a function that writes a result to a folder which stays; a block must pass
+    whatever it returns through it, since plans read their inputs late.
+    """
+    outer, inner = _made.get(), []
+    token = _made.set(inner)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        path = inner.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        conf = spark._jsc.hadoopConfiguration()
+        for name in inner:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder, as a URI or path."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or _own_dir(spark)
-    _made.append(posixpath.join(root, f"gridmill-{uuid.uuid4().hex}"))
-    return _made[-1]
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark)
+    made = _made.get()
+    path = posixpath.join(root, f"gridmill-{uuid.uuid4().hex}")
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="gridmill-")
     spark.sparkContext.setCheckpointDir(root)
     return root

@@ -1,24 +1,31 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram and bigram counts are gathered over all training documents. Their logarithms
-are quantised, and an n-gram of level q is put into a Bloom filter as the items
-(n-gram, 1) ... (n-gram, q); a reader probes levels upwards until one is missing
-(Talbot and Osborne 2007). Frequent n-grams are few, so most cost one item.
-
-The filter is split into segments by hash. Each is built by one task from the
-n-grams that fall to it; only finished segments, ``max_bits`` in all, pass the
-driver on their way to the workers. If the n-grams need more bits than that, the
-least count of a stored bigram rises to the level at which they fit, found from the
-histogram of counts, so accuracy, not memory, gives way.
-
-Score: sum of log10 of (1 - w) p(word) + w p(word | previous), with p(word) add-one
-smoothed and w the share of bigram tokens of the training text that would still be
-stored without themselves. Base: exact add-one unigrams. Counts of the ``head`` most
-frequent words are broadcast exactly; rarer ones are joined, which is exact at any size
-of vocabulary.
+Words and pairs of words are counted over all training documents. The logarithms of
+the pairs' counts are quantised, and a pair of level q is put into a Bloom filter as
+the items (pair, 1) ... (pair, q); a reader probes levels upwards until one is missing
+(Talbot and Osborne 2007). Most pairs occur once and cost one item. Every pair is
+counted and stored, however rare.
+
+A pair's key keeps, behind an invertible mix, 36 bits of its first word's hash, so the
+number of different successors of each word falls out of the same counts without
+moving the words again.
+
+The filter is cut into segments by key, each built by the task that merged the counts
+of its keys and written to shared storage, from where workers load it; neither the
+driver nor a broadcast carries it. Workers hold at most ``max_bits``. If the pairs need
+more, those of the lowest levels stay out of the workers' filter and are looked up by a
+join instead, only for the tokens whose pair the filter does not hold; scores are the
+same either way, but for the filter's false positives.
+
+Score: sum of log10 p(word | previous) with Witten-Bell smoothing,
+(c(previous, word) + T p(word)) / (c(previous) + T), T the number of different
+successors of the previous word, so each context has its own weight; p(word) is add-one
+smoothed. Base: exact add-one unigrams. Counts of the ``head`` most frequent words are
+broadcast; rarer ones are joined, which is exact at any size of vocabulary.
 
 Defined cases: null text = empty text = one end token; no training rows: N = V = 0 and
-every score is log10(1) a token; repeated rows are scored one by one.
+every score is log10(1) a token; repeated rows are scored one by one; columns named like
+an output column give way to it.
 """
 
 from __future__ import annotations
@@ -27,78 +34,122 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
-from .words import joined, mix, word_hashes
+from .common import filesystem, materialize, scratch, shared_dir, small_batches
+from .words import joined, mix, unmix, word_hashes
 
 #: Hash that stands for the end token; its preimage is no word.
 END = np.uint64(0x5EED0FE2D0C4)
-GROWTH = {1: 1.25, 2: 2.0}  # ratio of neighbouring levels, by order
-LEVELS = {1: 96, 2: 40}
+#: Ratio of neighbouring levels of counts, and the highest level.
+GROWTH, LEVELS = 1.5, 63
 PROBES = 5
 BITS_AN_ITEM = 9
-SEGMENT_BITS = 1 << 23
+#: Pairs of a segment of the filter, and tokens that a task counts at a time.
+SEGMENT, BLOCK = 1 << 20, 2_500_000
+#: Bytes of (compressed) input a slice of the key space, and the most slices.
+SLICE_BYTES, SLICE_BITS = 2 << 20, 20
+#: Low bits of a pair's raw key that tell its words apart; the others name the first word.
+_WORD_BITS = np.uint64(28)
+_WORD_MASK = np.uint64((1 << 28) - 1)
 
 
-def level_of(counts: np.ndarray, order: int) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(GROWTH[order]) + 1e-9), LEVELS[order]).astype(np.int64)
+def _edges() -> np.ndarray:
+    """Least count of each level from 1; counts of neighbouring levels differ by GROWTH, by one at least."""
+    out = [1]
+    while len(out) < LEVELS:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * GROWTH)))
+    return np.array(out, np.int64)
 
 
-def _middle(order: int) -> np.ndarray:
-    """The middle of each level's counts; level 0 is absent."""
-    g, q = GROWTH[order], np.arange(LEVELS[order] + 1.0)
-    low = np.ceil(g ** np.maximum(q - 1, 0) - 1e-9)
-    high = np.maximum(low, np.ceil(g ** np.maximum(q, 1) - 1e-9) - 1)
-    return np.where(q > 0, (low + high) / 2, 0.0)
+_LEAST = _edges()
+#: The middle of each level's counts; level 0 is absent.
+_COUNT = np.concatenate([[0.0], (_LEAST + np.concatenate([_LEAST[1:] - 1, _LEAST[-1:]])) / 2])
 
 
-_COUNT = {order: _middle(order) for order in GROWTH}
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_LEAST, counts, "right")
 
 
-def count_of(levels: np.ndarray, order: int) -> np.ndarray:
-    return _COUNT[order][levels]
+def count_of(levels: np.ndarray) -> np.ndarray:
+    return _COUNT[levels]
+
+
+def pair_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix((prev & ~_WORD_MASK) | (joined([prev, word]) & _WORD_MASK))
+
+
+def context_of(prev: np.ndarray) -> np.ndarray:
+    """What a pair's key remembers of its first word."""
+    return prev >> _WORD_BITS
 
 
 def _probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and stride of an item's probes inside a segment."""
+    """First place and stride of an item's probes, as fractions of a segment in 2^32 parts."""
     h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64)
+def _place(at: np.ndarray, bits) -> np.ndarray:
+    return ((at & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)).astype(np.int64)
 
 
-class Filter:
-    """The whole filter as one bit array of ``segments`` equal parts."""
+def build_segment(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """The bits of one segment: of size in proportion to its items, whole 64-bit words."""
+    size = np.uint64(max(1, -(-int(levels.sum()) * BITS_AN_ITEM // 64)) * 64)
+    out = np.zeros(int(size), bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        keys, levels = keys[levels >= q], levels[levels >= q]
+        at, stride = _probe(keys, q)
+        for _ in range(PROBES):
+            out[_place(at, size)] = True
+            at = at + stride
+    return np.packbits(out, bitorder="little").tobytes()
 
-    def __init__(self, bits: np.ndarray, segments: int, segment_bits: int):
-        self.bits, self.segments, self.segment_bits = bits, segments, segment_bits
 
-    @staticmethod
-    def build(keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> np.ndarray:
-        out, mask = np.zeros(segment_bits, bool), np.uint64(segment_bits - 1)
-        for q in range(1, int(levels.max()) + 1 if len(levels) else 1):
-            keys, levels = keys[levels >= q], levels[levels >= q]
-            at, stride = _probe(keys, q)
-            for _ in range(PROBES):
-                out[(at & mask).astype(np.int64)] = True
-                at = at + stride
-        return np.packbits(out, bitorder="little")
-
-    def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
+class Filter:
+    """All segments: ascending least keys and each one's bits."""
+
+    def __init__(self, lows: np.ndarray, segments: list[bytes]):
+        size = np.array([len(s) for s in segments], np.int64)
+        self.lows, self.size, self.first = lows, (size * 8).astype(np.uint64), (np.cumsum(size) - size) * 8
+        self.bits = np.zeros(int(size.sum()), np.uint8)
+        for s, at in zip(segments, (self.first // 8).tolist(), strict=True):
+            self.bits[at : at + len(s)] = np.frombuffer(s, np.uint8)
+
+    @classmethod
+    def load(cls, folder: str) -> Filter:
+        """From the files of a table (low, bits) in shared storage."""
+        fs, path = filesystem(folder)
+        lows, segments = [], []
+        for f in fs.get_file_info(pafs.FileSelector(path)):
+            if f.is_file and f.path.endswith(".parquet"):
+                t = pq.read_table(f.path, filesystem=fs, columns=["low", "bits"])
+                lows.append(t.column("low").to_numpy().view(np.uint64))
+                segments += t.column("bits").to_pylist()
+        if not segments:
+            return cls(np.zeros(0, np.uint64), [])
+        low = np.concatenate(lows)
+        order = np.argsort(low)
+        return cls(low[order], [segments[i] for i in order.tolist()])
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key; a probe that misses ends its key's search at once."""
-        out, mask = np.zeros(len(keys), np.int64), np.uint64(self.segment_bits - 1)
-        live, base = np.arange(len(keys)), segment_of(keys, self.segments) * self.segment_bits
-        for q in range(1, most + 1):
+        out = np.zeros(len(keys), np.int64)
+        if not len(self.lows):
+            return out
+        seg = np.maximum(np.searchsorted(self.lows, keys, "right") - 1, 0)
+        live, base, size = np.arange(len(keys)), self.first[seg], self.size[seg]
+        for q in range(1, LEVELS + 1):
             at, stride = _probe(keys, q)
             for _ in range(PROBES):
-                place = base + (at & mask).astype(np.int64)
+                place = base + _place(at, size)
                 hit = np.flatnonzero(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                keys, base, live, at, stride = keys[hit], base[hit], live[hit], at[hit], stride[hit]
+                keys, base, size, live, at, stride = keys[hit], base[hit], size[hit], live[hit], at[hit], stride[hit]
                 at = at + stride
             if not len(live):
                 break
@@ -107,21 +158,25 @@ class Filter:
 
 
 def _with_end(text) -> np.ndarray:
-    return np.append(_tagged(word_hashes(text), 1), END)
+    return np.append(word_hashes(text), END)
 
 
-def _tagged(keys: np.ndarray, order: int) -> np.ndarray:
-    """Keys whose lowest bit tells unigrams from bigrams."""
-    return keys | np.uint64(1) if order == 2 else keys & ~np.uint64(1)
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(h, c) of the tagged unigrams and bigrams of all rows, single bigrams left out.
+WORDS, PAIRS, SUCCESSORS = 0, 1, 2
+_PART = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TABLE = pa.schema([("kind", pa.int32()), ("low", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("levels", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    Counts are combined a task, then summed over tasks; a bigram seen once tells
-    nothing beyond its words.
-    """
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+def _parts(texts: DataFrame, bits: int) -> DataFrame:
+    """Counts of the words and pairs of blocks of documents, a row a block, kind and slice of the key space."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(it):
         held, size = [], 0
@@ -129,150 +184,268 @@ def _counted(docs: DataFrame) -> DataFrame:
         def out():
             flat = np.concatenate(held)
             prev = np.concatenate([[END], flat[:-1]]).astype(np.uint64)  # a document follows another's end token
-            for order, x in ((1, flat), (2, joined([prev, flat]))):
-                keys, counts = np.unique(_tagged(x, order), return_counts=True)
-                for a in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], schema=schema)
             held.clear()
+            for kind, x in ((WORDS, flat), (PAIRS, pair_keys(prev, flat))):
+                keys, counts = np.unique(x, return_counts=True)
+                cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+                counts = counts.astype("<u4")
+                own = [s for s in range(len(edges)) if cuts[s] < cuts[s + 1]]
+                for a in range(0, len(own), 64):
+                    part = own[a : a + 64]
+                    cols = [part, [kind] * len(part), [keys[cuts[s] : cuts[s + 1]].tobytes() for s in part], [counts[cuts[s] : cuts[s + 1]].tobytes() for s in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PART, strict=True)], schema=_PART)
 
         for b in it:
             for t in b.column(0).to_pylist():
                 held.append(_with_end(t))
                 size += len(held[-1])
-            if size > 2_500_000:
-                yield from out()
-                size = 0
+                if size > BLOCK:
+                    yield from out()
+                    size = 0
         if held:
             yield from out()
 
-    rows = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return rows.where((F.col("c") > 1) | (F.col("h").bitwiseAND(1) == 0))
+    return texts.mapInArrow(run, "slice int, kind int, keys binary, counts binary")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """The counts of all blocks: words, pairs with their levels, and partial numbers of successors."""
+
+    def table(kind, keys, counts):
+        for a in range(0, len(keys), SEGMENT):
+            k, c = keys[a : a + SEGMENT], counts[a : a + SEGMENT]
+            levels = np.bincount(level_of(c), minlength=LEVELS + 1).tolist() if kind == PAIRS else []
+            shown = level_of(c).astype(np.uint8) if kind == PAIRS else c.astype("<i8")
+            cols = [[kind], [int(k[0].view(np.int64))], [int(c.sum())], [len(k)], [levels], [k.tobytes()], [shown.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _TABLE, strict=True)], schema=_TABLE)
+
+    def run(it):
+        now, held, known = None, [], []
+
+        def merge(limit: int) -> None:
+            if sum(len(k) for k, _ in held) > limit:
+                held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+
+        def close():
+            merge(0)
+            if held:
+                keys, counts = held.pop()
+                if now[1] == PAIRS:
+                    known.append(_summed(context_of(unmix(keys)), np.ones(len(keys), np.int64)))
+                    if sum(len(k) for k, _ in known) > 4_000_000:
+                        known[:] = [_summed(*(np.concatenate(x) for x in zip(*known, strict=True)))]
+                        if len(known[0][0]) > 2_000_000:
+                            yield from table(SUCCESSORS, *known.pop())
+                yield from table(now[1], keys, counts)
+
+        for b in it:
+            for s, kind, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (s, kind) != now:
+                    if now:
+                        yield from close()
+                    now = (s, kind)
+                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4").astype(np.int64)))
+                merge(16_000_000)
+        if now:
+            yield from close()
+        if known:
+            yield from table(SUCCESSORS, *_summed(*(np.concatenate(x) for x in zip(*known, strict=True))))
+
+    rows = parts.repartition("slice").sortWithinPartitions("slice", "kind")
+    return rows.mapInArrow(run, "kind int, low long, n long, size long, levels array<long>, keys binary, counts binary")
+
+
+def _rows(merged: DataFrame, kind: int, name: str, value: str, width: str = "<i8", least: int = 0, most: int = 2**62) -> DataFrame:
+    """The entries (name, value) of one kind, those with values from ``least`` to ``most``."""
+    schema = pa.schema([(name, pa.int64()), (value, pa.int64())])
+
+    def run(it):
+        for b in it:
+            for keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, width).astype(np.int64)
+                at = np.flatnonzero((c >= least) & (c <= most))
+                for a in range(0, len(at), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[at[a : a + 100_000]]), pa.array(c[at[a : a + 100_000]])], schema=schema)
+
+    return merged.where(F.col("kind") == kind).select("keys", "counts").mapInArrow(run, f"{name} long, {value} long")
 
 
 class Model:
-    """What scoring needs: totals, exact head counts and the filter; all bounded."""
+    """What scoring needs: totals, counts of the head, where the filter lies, and the tables behind them."""
 
-    def __init__(self, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, filt: Filter, weight: float):
-        self.n, self.v, self.head, self.head_counts, self.filter, self.weight = n, v, head, head_counts, filt, weight
+    def __init__(self, n: int, v: int, head: tuple[np.ndarray, ...], folder: str, vocab: DataFrame, rare: DataFrame | None):
+        self.n, self.v, self.head, self.folder, self.vocab, self.rare = n, v, head, folder, vocab, rare
 
     @property
     def total(self) -> float:
         return float((self.n + 1 * (self.v + 1)) if self.n else 1)
 
 
-def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits: int = 1 << 30) -> tuple[Model, DataFrame]:
-    """(model, vocabulary table (h, c)) of all rows of ``docs``."""
+def _slices(texts: DataFrame) -> int:
+    """Bits of the slice number, from the planner's estimate of the input's bytes; more slices, less memory a task."""
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(SLICE_BITS, max(4, (min(size, 1 << 50) // SLICE_BYTES).bit_length()))
+
+
+def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits: int = 1 << 30) -> Model:
+    """The model of all rows of ``docs``. ``head`` and ``max_bits`` bound what a worker holds, not what is learnt."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("t"))
-    grams = materialize(_counted(texts))
-    vocab, pairs = grams.where(F.col("h").bitwiseAND(1) == 0), grams.where(F.col("h").bitwiseAND(1) == 1)
-    total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    merged = materialize(_merged(_parts(texts, _slices(texts))))
+    total = merged.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("v")).first()
     n, v = int(total.n), int(total.v)
+    successors = _rows(merged, SUCCESSORS, "x", "t").groupBy("x").agg(F.sum("t").alias("t"))
+    words = _rows(merged, WORDS, "h", "c").withColumn("x", F.shiftrightunsigned("h", int(_WORD_BITS)))
+    vocab = materialize(words.join(successors, "x", "left").select("h", "c", F.coalesce("t", F.lit(1)).alias("s")))
     # The head: every word whose count exceeds a bound that leaves at most ``head`` words.
     hist = vocab.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(head)
-    bound, words = 0, 0
+    bound = used = 0
     for r in hist.toLocalIterator():
-        if words + r.n > head:
+        if used + r.n > head:
             bound = r.c
             break
-        words += r.n
-    top = vocab.where(F.col("c") > bound).toArrow().sort_by("h") if n else None
-    level = {k: F.least(F.lit(LEVELS[k]), F.lit(1) + F.floor(F.log(F.col("c").cast("double")) / math.log(GROWTH[k]) + 1e-9)) for k in GROWTH}
-    items1 = int(vocab.agg(F.coalesce(F.sum(level[1]), F.lit(0))).first()[0])
-    by_level = {int(r.q): (int(r.n), int(r.c)) for r in pairs.groupBy(level[2].alias("q")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    once = {int(r.c): int(r.n) for r in pairs.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    least = 2
-    while BITS_AN_ITEM * (items1 + sum(q * k for q, (k, _) in by_level.items() if q >= least)) > max_bits and least < LEVELS[2]:
+        used += r.n
+    top = vocab.where(F.col("c") > bound).toArrow()
+    keys = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    tops = (keys[order], *(top.column(c).to_numpy()[order].astype(np.int64) for c in ("c", "s")))
+    by_level = {int(r.q): int(r.n) for r in merged.where(F.col("kind") == PAIRS).select(F.posexplode("levels").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect()}
+    least = 1
+    while least < LEVELS and BITS_AN_ITEM * sum(q * k for q, k in by_level.items() if q >= least) > max_bits:
         least += 1
-    items = items1 + sum(q * k for q, (k, _) in by_level.items() if q >= least)
-    segments = max(1, min(max_bits, BITS_AN_ITEM * items) // SEGMENT_BITS + 1)
-    kept = sum(c for q, (_, c) in by_level.items() if q >= least)
-    kept -= 2 * once.get(2, 0) if least == 2 else 0  # without itself such a pair would not be stored
-    weight = 0.95 * kept / n if n else 0.0
-    grams = vocab.select("h", level[1].cast("long").alias("q")).unionByName(pairs.where(level[2] >= least).select("h", level[2].cast("long").alias("q")))
-    seg = F.shiftright(F.shiftrightunsigned("h", 40) * segments, 24)
-    rows = grams.select(seg.alias("seg"), "h", "q").repartition("seg").sortWithinPartitions("seg")
-    out = pa.schema([("seg", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("low", pa.int64()), ("bits", pa.binary())])
 
     def build(it):
-        def done(seg, held):
-            h, q = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([seg]), pa.array([Filter.build(h.view(np.uint64), q, SEGMENT_BITS).tobytes()], pa.binary())], schema=out)
-
-        now, held = None, []
         for b in it:
-            s, h, q = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            for seg in np.unique(s).tolist():
-                if seg != now and held:
-                    yield done(now, held)
-                    held = []
-                now = seg
-                held.append((h[s == seg], q[s == seg]))
-        if held:
-            yield done(now, held)
+            for low, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k, q = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([build_segment(k[q >= least], q[q >= least])], pa.binary())], schema=schema)
+
+    folder = shared_dir(docs.sparkSession)
+    merged.where(F.col("kind") == PAIRS).select("low", "keys", "counts").mapInArrow(build, "low long, bits binary").write.parquet(folder)
+    rare = _rows(merged, PAIRS, "h", "q", "u1", 1, least - 1) if least > 1 else None
+    return Model(n, v, tops, folder, vocab, rare)
+
+
+_loaded: dict[str, Filter] = {}
 
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in rows.mapInArrow(build, "seg long, bits binary").collect():  # max_bits in all
-        bits[r.seg * SEGMENT_BITS // 8 : (r.seg + 1) * SEGMENT_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    keys = top.column("h").to_numpy().view(np.uint64) if top else np.zeros(0, np.uint64)
-    counts = top.column("c").to_numpy() if top else np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    return Model(n, v, keys[order], counts[order].astype(np.int64), Filter(bits, segments, SEGMENT_BITS), weight), vocab
 
+def _filter(folder: str) -> Filter:
+    """The filter, loaded once a worker."""
+    if folder not in _loaded:
+        _loaded.clear()
+        _loaded[folder] = Filter.load(folder)
+    return _loaded[folder]
 
-def _score(model: Model, docs: list[np.ndarray]):
-    """Per document: known head tokens, their log10 counts, score; and the words outside the head."""
+
+_TAIL = pa.struct([("w", pa.int64()), ("pw", pa.float64()), ("prev", pa.int64()), ("ps", pa.float64()), ("pair", pa.int64()), ("x", pa.float64())])
+_TAIL_DDL = "array<struct<w:bigint,pw:double,prev:bigint,ps:double,pair:bigint,x:double>>"
+
+
+def _score(head, total: float, filt: Filter, whole: bool, docs: list[np.ndarray]):
+    """Per document its known head tokens, their log10 counts and score; and the tokens that a join must complete.
+
+    With p the word's own probability, s the previous word's successors and x the pair's
+    count, log10 p(word | previous) is log10 p + log10(1 + x / (s p)) plus log10(s / (c + s))
+    of the previous word. Every token but the last is the previous word of one, and the
+    end token that of the first, so the last part sums over a document's own tokens.
+    """
     flat = np.concatenate(docs)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    lens = np.array([len(d) for d in docs])
+    doc = np.repeat(np.arange(len(docs)), lens)
     uni, at = np.unique(flat, return_inverse=True)
-    k = np.minimum(np.searchsorted(model.head, uni), max(len(model.head) - 1, 0))
-    in_head = model.head[k] == uni if len(model.head) else np.zeros(len(uni), bool)
-    exact = np.where(in_head, model.head_counts[k], 0) if len(model.head) else np.zeros(len(uni), np.int64)
+    h_keys, h_counts, h_next = head
+    k = np.minimum(np.searchsorted(h_keys, uni), max(len(h_keys) - 1, 0))
+    in_head = h_keys[k] == uni if len(h_keys) else np.zeros(len(uni), bool)
+    count = np.where(in_head, h_counts[k], 0) if len(h_keys) else np.zeros(len(uni), np.int64)
+    after = np.where(in_head, h_next[k], 1).astype(float) if len(h_keys) else np.ones(len(uni))
+    own, weight = np.log10(count + 1.0), np.where(in_head, np.log10(after / (count + after)), 0.0)
     known = np.bincount(doc, in_head[at], len(docs)).astype(np.int64)
-    base = np.bincount(doc, np.where(in_head, np.log10(exact + 1), 0.0)[at], len(docs))
-    about = exact.astype(float)
-    about[~in_head] = count_of(model.filter.levels(_tagged(uni[~in_head], 1), LEVELS[1]), 1)
-    p = (about[at] + 1) / model.total
+    base = np.bincount(doc, own[at], len(docs))
     prev = np.concatenate([[END], flat[:-1]]).astype(np.uint64)
-    starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
+    starts = np.cumsum(lens) - lens
     prev[starts] = END
-    pair = count_of(model.filter.levels(_tagged(joined([prev, flat]), 2), LEVELS[2]), 2)
     prev_at = np.concatenate([[0], at[:-1]])
-    context = about[prev_at].astype(float)
-    e = np.searchsorted(uni, END)
-    context[starts] = about[e]
-    cond = np.where(pair > 0, np.minimum(1.0, pair / np.maximum(context, np.maximum(pair, 1))), 0.0)
-    score = np.bincount(doc, np.log10((1 - model.weight) * np.minimum(p, 1.0) + model.weight * cond), len(docs))
-    tail = np.flatnonzero(~in_head[at])
-    return known, base, score, doc[tail], flat[tail]
-
-
-def score_documents(docs: DataFrame, model: Model, vocab: DataFrame, text_col: str = "text") -> DataFrame:
+    prev_at[starts] = np.searchsorted(uni, END)
+    pairs = pair_keys(prev, flat)
+    x = count_of(filt.levels(pairs))
+    p, s = (count[at] + 1) / total, after[prev_at]
+    word_in, prev_in = in_head[at], in_head[prev_at]
+    sure = word_in & prev_in & (x > 0)
+    gain = np.zeros(len(flat))
+    gain[sure] = np.log10(1 + x[sure] / (s[sure] * p[sure]))
+    score = base + np.bincount(doc, weight[at] + gain, len(docs)) - lens * math.log10(total)
+    unsure = (x > 0) & ~sure
+    asked = x == 0 if not whole else np.zeros(len(flat), bool)
+    tail = np.flatnonzero(~word_in | unsure | asked)
+
+    def column(values, given, kind):
+        return pa.array(values[tail], kind, mask=~given[tail])
+
+    parts = [column(flat.view(np.int64), ~word_in, pa.int64()), column(p, word_in, pa.float64()), column(prev.view(np.int64), ~prev_in & (unsure | asked), pa.int64()), column(s, prev_in, pa.float64()), column(pairs.view(np.int64), asked, pa.int64()), column(x, unsure, pa.float64())]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc[tail], minlength=len(docs)))]).astype(np.int32)
+    return known, base, score, pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, fields=list(_TAIL)))
+
+
+def _completed(scored: DataFrame, model: Model) -> DataFrame:
+    """(_row, _k, _b, _s): what the tokens outside the head add to known tokens, base and score.
+
+    Absent keys get values of their own, so they spread over the join's tasks.
+    """
+    t = scored.select("_row", F.posexplode("_tail").alias("i", "t")).select("_row", "i", "t.*")
+    # Only the words that tails name are looked up in the vocabulary.
+    none = F.xxhash64("_row", "i")
+    if model.rare is not None:
+        level = F.array(*[F.lit(float(c)) for c in _COUNT])
+        found = model.rare.select(F.col("h").alias("_pair"), F.get(level, F.col("q").cast("int")).alias("_x"))
+        t = t.join(found, F.coalesce("pair", none) == F.col("_pair"), "left").withColumn("x", F.coalesce("x", F.when(F.col("pair").isNotNull(), F.col("_x"))))
+    own = model.vocab.select(F.col("h").alias("_w"), F.col("c").alias("cw"), F.col("s").alias("sw"))
+    t = t.join(own, F.coalesce("w", none) == F.col("_w"), "left")
+    t = t.withColumn("known", F.col("w").isNotNull() & F.col("cw").isNotNull())
+    before = model.vocab.select(F.col("h").alias("_p"), F.col("s").alias("sp"))
+    far = F.col("prev").isNotNull() & F.col("x").isNotNull()
+    near, away = t.where(~far), t.where(far)  # few tokens have a stored pair with a rare word before
+    away = away.join(before, F.col("prev") == F.col("_p"), "left").withColumn("ps", F.coalesce("ps", "sp"))
+    cols = ["_row", "known", "cw", "sw", "pw", "ps", "x"]
+    t = near.select(*cols).unionByName(away.select(*cols))
+    p = F.coalesce("pw", (F.col("cw") + 1) / F.lit(model.total))
+    gain = F.coalesce(F.log10(1 + F.col("x") / (F.col("ps") * p)), F.lit(0.0))  # none where a part is unknown to the model
+    own = F.when(F.col("known"), F.log10(F.col("cw") + 1)).otherwise(0.0)
+    weight = F.when(F.col("known"), F.log10(F.col("sw") / (F.col("cw") + F.col("sw")))).otherwise(0.0)
+    return t.groupBy("_row").agg(F.count_if("known").alias("_k"), F.sum(own).alias("_b"), F.sum(own + weight + gain).alias("_s"))
+
+
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to the columns of ``docs`` (without the text)."""
     small_batches(docs.sparkSession, 500)
-    handle = docs.sparkSession.sparkContext.broadcast(model)
-    added = ("_row", "n_tokens", "_known", "_base", "score", "_tail")
-    kept = [c for c in docs.columns if c not in (text_col, *added, "n_known", "train_tokens", "base_score")]
+    total, folder, whole = model.total, model.folder, model.rare is None
+    handle = docs.sparkSession.sparkContext.broadcast(model.head)
+    added = ("_row", "n_tokens", "_known", "_base", "_score", "_tail")
+    kept = [c for c in docs.columns if c not in (text_col, *added, "n_known", "train_tokens", "base_score", "score")]
     rest = docs.select(*kept, F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(kept).schema), "_row long, n_tokens long, _known long, _base double, score double, _tail array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(kept).schema), f"_row long, n_tokens long, _known long, _base double, _score double, _tail {_TAIL_DDL}"])
 
     def run(it):
-        m, n = handle.value, TaskContext.get().partitionId() << 33
+        n, filt = TaskContext.get().partitionId() << 33, None
         for b in it:
             if not b.num_rows:
                 continue
+            filt = filt or _filter(folder)
             ds = [_with_end(t) for t in b.column("_text").to_pylist()]
-            known, base, score, doc, words = _score(m, ds)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ds)))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64)))
+            known, base, score, tail = _score(handle.value, total, filt, whole, ds)
             cols = [*(b.column(c) for c in kept), pa.array(np.arange(n, n + len(ds))), pa.array([len(d) for d in ds], pa.int64()), pa.array(known), pa.array(base), pa.array(score), tail]
             n += len(ds)
             yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
 
     scored = materialize(rest.mapInArrow(run, schema))
-    rare = scored.select("_row", F.explode("_tail").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("k"))
-    rare = rare.join(vocab, "h").groupBy("_row").agg(F.sum("k").alias("_k"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("_b"))
-    out = scored.drop("_tail").join(rare, "_row", "left")
+    out = scored.drop("_tail").join(_completed(scored, model), "_row", "left")
     n_known = F.col("_known") + F.coalesce("_k", F.lit(0))
-    base = F.col("_base") + F.coalesce("_b", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.total))
-    return out.select(*kept, "n_tokens", n_known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("_base") + F.coalesce("_b", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total))
+    score = F.col("_score") + F.coalesce("_s", F.lit(0.0))
+    return out.select(*kept, "n_tokens", n_known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+
+
+def score_corpus(docs: DataFrame, training: DataFrame, text_col: str = "text", **bounds) -> DataFrame:
+    """Train on one table and score another; counts and filter are deleted once the scores are written."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(score_documents(docs, train(training, text_col, **bounds), text_col))

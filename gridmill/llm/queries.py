@@ -108,8 +108,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
-    model, vocab = lmscore.train(docs.where(~F.col("held_out")))
-    return lmscore.score_documents(docs, model, vocab)
+    return lmscore.score_corpus(docs, docs.where(~F.col("held_out")))
 
 
 def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BACK = [np.uint64(pow(m, -1, 2**64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The value that ``mix`` made x of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * _BACK[0]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * _BACK[1]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def _pieces(raw: bytes):
     """Parts of a long text, cut at blanks."""
     at = 0
