@@ -34,6 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -51,6 +52,8 @@ PROBES = 5
 BITS_AN_ITEM = 9
 #: Pairs of a segment of the filter, and tokens that a task counts at a time.
 SEGMENT, BLOCK = 1 << 20, 2_500_000
+#: Bytes of text scored at a time, but for a longer text.
+PIECE = 2 << 20
 #: Bytes of (compressed) input a slice of the key space, and the most slices.
 SLICE_BYTES, SLICE_BITS = 2 << 20, 20
 #: Low bits of a pair's raw key that tell its words apart; the others name the first word.
@@ -114,28 +117,32 @@ def build_segment(keys: np.ndarray, levels: np.ndarray) -> bytes:
 class Filter:
     """All segments: ascending least keys and each one's bits."""
 
-    def __init__(self, lows: np.ndarray, segments: list[bytes]):
-        size = np.array([len(s) for s in segments], np.int64)
-        self.lows, self.size, self.first = lows, (size * 8).astype(np.uint64), (np.cumsum(size) - size) * 8
-        self.bits = np.zeros(int(size.sum()), np.uint8)
-        for s, at in zip(segments, (self.first // 8).tolist(), strict=True):
-            self.bits[at : at + len(s)] = np.frombuffer(s, np.uint8)
+    def __init__(self, lows: np.ndarray, sizes: np.ndarray):
+        """Empty segments of so many bytes."""
+        self.lows, self.size = lows, (sizes * 8).astype(np.uint64)
+        self.first = (np.cumsum(sizes) - sizes) * 8
+        self.bits = np.zeros(int(sizes.sum()), np.uint8)
+
+    def put(self, low: int, bits) -> None:
+        at = int(self.first[np.searchsorted(self.lows, np.uint64(low))]) // 8
+        self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
 
     @classmethod
     def load(cls, folder: str) -> Filter:
-        """From the files of a table (low, bits) in shared storage."""
+        """From the files of a table (low, bytes, bits) in shared storage, one row group in memory at a time."""
         fs, path = filesystem(folder)
-        lows, segments = [], []
-        for f in fs.get_file_info(pafs.FileSelector(path)):
-            if f.is_file and f.path.endswith(".parquet"):
-                t = pq.read_table(f.path, filesystem=fs, columns=["low", "bits"])
-                lows.append(t.column("low").to_numpy().view(np.uint64))
-                segments += t.column("bits").to_pylist()
-        if not segments:
-            return cls(np.zeros(0, np.uint64), [])
-        low = np.concatenate(lows)
-        order = np.argsort(low)
-        return cls(low[order], [segments[i] for i in order.tolist()])
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.is_file and f.path.endswith(".parquet")]
+        tables = [pq.read_table(f, filesystem=fs, columns=["low", "bytes"]) for f in files]
+        lows = np.concatenate([np.zeros(0, np.uint64), *(t.column("low").to_numpy().view(np.uint64) for t in tables)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(t.column("bytes").to_numpy() for t in tables)])
+        order = np.argsort(lows)
+        out = cls(lows[order], sizes[order])
+        for f in files:
+            with pq.ParquetFile(f, filesystem=fs) as file:
+                for b in file.iter_batches(batch_size=4, columns=["low", "bits"]):
+                    for low, bits in zip(b.column("low").to_numpy().view(np.uint64), b.column("bits"), strict=True):
+                        out.put(low, bits.as_buffer())
+        return out
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key; a probe that misses ends its key's search at once."""
@@ -179,14 +186,24 @@ def _parts(texts: DataFrame, bits: int) -> DataFrame:
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(it):
+        _forget()  # a worker that has scored before may still hold a filter
         held, size = [], 0
 
         def out():
             flat = np.concatenate(held)
-            prev = np.concatenate([[END], flat[:-1]]).astype(np.uint64)  # a document follows another's end token
             held.clear()
-            for kind, x in ((WORDS, flat), (PAIRS, pair_keys(prev, flat))):
-                keys, counts = np.unique(x, return_counts=True)
+            for kind in (WORDS, PAIRS):
+                x = flat
+                if kind == PAIRS:  # a document follows another's end token
+                    x = np.empty_like(flat)
+                    for a in range(0, len(flat), 1 << 18):
+                        part = flat[a : a + (1 << 18)]
+                        x[a : a + (1 << 18)] = pair_keys(np.concatenate([flat[a - 1 : a] if a else [END], part[:-1]]).astype(np.uint64), part)
+                    del flat
+                x = np.sort(x)
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                keys, counts = x[first], np.diff(first, append=len(x))
+                del x, first
                 cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
                 counts = counts.astype("<u4")
                 own = [s for s in range(len(edges)) if cuts[s] < cuts[s + 1]]
@@ -239,12 +256,12 @@ def _merged(parts: DataFrame) -> DataFrame:
                 yield from table(now[1], keys, counts)
 
         for b in it:
-            for s, kind, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for s, kind, keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if (s, kind) != now:
                     if now:
                         yield from close()
                     now = (s, kind)
-                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4").astype(np.int64)))
+                held.append((np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), "<u4").astype(np.int64)))
                 merge(16_000_000)
         if now:
             yield from close()
@@ -261,8 +278,8 @@ def _rows(merged: DataFrame, kind: int, name: str, value: str, width: str = "<i8
 
     def run(it):
         for b in it:
-            for keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, width).astype(np.int64)
+            for keys, counts in zip(*b.columns, strict=True):
+                k, c = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), width).astype(np.int64)
                 at = np.flatnonzero((c >= least) & (c <= most))
                 for a in range(0, len(at), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(k[at[a : a + 100_000]]), pa.array(c[at[a : a + 100_000]])], schema=schema)
@@ -313,16 +330,17 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits
     least = 1
     while least < LEVELS and BITS_AN_ITEM * sum(q * k for q, k in by_level.items() if q >= least) > max_bits:
         least += 1
-    schema = pa.schema([("low", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("low", pa.int64()), ("bytes", pa.int64()), ("bits", pa.binary())])
 
     def build(it):
         for b in it:
-            for low, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, q = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([build_segment(k[q >= least], q[q >= least])], pa.binary())], schema=schema)
+            for low, keys, counts in zip(*b.columns, strict=True):
+                k, q = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
+                bits = build_segment(k[q >= least], q[q >= least])
+                yield pa.RecordBatch.from_arrays([pa.array([low.as_py()]), pa.array([len(bits)]), pa.array([bits], pa.binary())], schema=schema)
 
     folder = shared_dir(docs.sparkSession)
-    merged.where(F.col("kind") == PAIRS).select("low", "keys", "counts").mapInArrow(build, "low long, bits binary").write.parquet(folder)
+    merged.where(F.col("kind") == PAIRS).select("low", "keys", "counts").mapInArrow(build, "low long, bytes long, bits binary").write.parquet(folder)
     rare = _rows(merged, PAIRS, "h", "q", "u1", 1, least - 1) if least > 1 else None
     return Model(n, v, tops, folder, vocab, rare)
 
@@ -330,6 +348,10 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 20, max_bits
 _loaded: dict[str, Filter] = {}
 
 
+def _forget() -> None:
+    _loaded.clear()
+
+
 def _filter(folder: str) -> Filter:
     """The filter, loaded once a worker."""
     if folder not in _loaded:
@@ -415,6 +437,15 @@ def _completed(scored: DataFrame, model: Model) -> DataFrame:
     return t.groupBy("_row").agg(F.count_if("known").alias("_k"), F.sum(own).alias("_b"), F.sum(own + weight + gain).alias("_s"))
 
 
+def _pieces(b: pa.RecordBatch):
+    """The batch in runs of rows of about PIECE bytes of text, which bounds the arrays of their tokens."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False)) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if a < z:
+            yield b.slice(a, z - a)
+
+
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to the columns of ``docs`` (without the text)."""
     small_batches(docs.sparkSession, 500)
@@ -427,15 +458,14 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(it):
         n, filt = TaskContext.get().partitionId() << 33, None
-        for b in it:
-            if not b.num_rows:
-                continue
-            filt = filt or _filter(folder)
-            ds = [_with_end(t) for t in b.column("_text").to_pylist()]
-            known, base, score, tail = _score(handle.value, total, filt, whole, ds)
-            cols = [*(b.column(c) for c in kept), pa.array(np.arange(n, n + len(ds))), pa.array([len(d) for d in ds], pa.int64()), pa.array(known), pa.array(base), pa.array(score), tail]
-            n += len(ds)
-            yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
+        for whole_batch in it:
+            for b in _pieces(whole_batch):
+                filt = filt or _filter(folder)
+                ds = [_with_end(t.as_py()) for t in b.column("_text")]
+                known, base, score, tail = _score(handle.value, total, filt, whole, ds)
+                cols = [*(b.column(c) for c in kept), pa.array(np.arange(n, n + len(ds))), pa.array([len(d) for d in ds], pa.int64()), pa.array(known), pa.array(base), pa.array(score), tail]
+                n += len(ds)
+                yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
 
     scored = materialize(rest.mapInArrow(run, schema))
     out = scored.drop("_tail").join(_completed(scored, model), "_row", "left")

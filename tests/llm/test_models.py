@@ -118,7 +118,10 @@ def test_filter_never_forgets():
     counts = r.geometric(0.3, len(keys)) ** 3
     levels = lmscore.level_of(counts)
     parts = np.array_split(np.arange(len(keys)), 3)
-    f = lmscore.Filter(np.array([keys[p[0]] for p in parts]), [lmscore.build_segment(keys[p], levels[p]) for p in parts])
+    segments = [lmscore.build_segment(keys[p], levels[p]) for p in parts]
+    f = lmscore.Filter(np.array([keys[p[0]] for p in parts]), np.array([len(x) for x in segments]))
+    for p, x in zip(parts, segments, strict=True):
+        f.put(keys[p[0]], x)
     got = f.levels(keys)
     assert (got >= levels).all() and (got == levels).mean() > 0.96
     assert (f.levels(r.integers(2**63, 2**64, 20_000, np.uint64)) > 0).mean() < 0.03
