@@ -16,9 +16,13 @@ Large tight groups would fill every node, so the trees are used twice:
 2. Nodes that still hold two groups are compared, the largest after branching on, and
    groups that come near by sketch join. The documents of a group are confirmed against each other.
 
-A node or group beyond a block is compared in pairs of blocks of fixed size: exact,
+A node or group beyond a block is compared in pairs of blocks of bounded size: exact,
 with no task holding it, and each task passes on a forest of links instead of all
-pairs. No node or group is capped or sampled.
+pairs. Members of one component need no comparison with each other, so the largest
+component's blocks meet only those of the rest: a great group of joined copies with a
+few strangers costs rows in proportion to its size. Sketches are compared first; texts
+move only for the rows that come near a row of another component in their pair of
+blocks. No node or group is capped or sampled.
 
 A pair of similarity s shares a root with probability 1 - (1 - s)^12, beyond
 0.9999999 at 0.75. If all its roots are nodes that branch on to the last level, a tree
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, small_batches
+from .common import batches, materialize, scratch, small_batches
 from .components import connected_components
 from .words import shingle_set
 
@@ -46,12 +50,13 @@ SKETCH = 128
 #: Levels below the root; each takes two sketch coordinates of a tree's own, so TREES * (1 + 2 * LEVELS) <= SKETCH.
 LEVELS = 4
 #: Rows of a block, where a group is compared in pairs of blocks with its texts, and a
-#: node with its sketches. A node of more than so many blocks branches on first.
+#: node with its sketches; shingles of a block's texts. A node of more than so many blocks branches on first.
 BLOCK, NODE_BLOCK, NODE_BLOCKS = 384, 768, 8
+BLOCK_SHINGLES = 2_000_000
 #: Trees in which a member must meet the same least member to be confirmed in step 1.
 MEETINGS = 4
-#: Most ids that a broadcast may hold.
-BROADCAST_IDS = 2_000_000
+#: Most ids that a broadcast may hold: about 10 MB.
+BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(31337)
 _A = _rng.integers(0, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,18 +153,51 @@ class _Unions:
         return x != y
 
 
-def _near(sketches: list[bytes], comps: np.ndarray, least: int):
-    """(i, js): for each row the later rows of other components whose sketches come near."""
-    s = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
+def _near(sketches: list[bytes], comps: np.ndarray, sides: list[int], least: int):
+    """(i, js): for each row the later rows of other components whose sketches come near.
+
+    Rows of sides 1 and 2 meet only the other side; rows of side 0 meet all.
+    """
+    s, side = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH), np.array(sides)
     for i in range(len(s) - 1):
-        other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
+        other = (comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))
+        other = np.flatnonzero(other) + i + 1
         if len(other):
             js = other[(s[other] == s[i]).sum(1) >= least]
             if len(js):
                 yield i, js
 
 
-def _by_key(rows: DataFrame, columns: list[str], work) -> DataFrame:
+def _in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """Rows keyed by pairs of blocks of their node or group ``by`` (columns id, comp, n), with their side there.
+
+    One that fits a block keeps one key. Of a larger one the largest component's blocks
+    (side 1) each meet all blocks of the rest (side 2), and those meet each other (side 0).
+    """
+    def blocks(count, shingles):
+        return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(count) / block, F.col(shingles) / BLOCK_SHINGLES))).cast("int")
+
+    sizes = rows.groupBy(by, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    sizes = sizes.groupBy(by).agg(F.max(F.struct("m", "comp", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    sizes = sizes.select(by, F.col("top.comp").alias("top"), F.col("top.m").alias("m1"), F.col("top.w").alias("w1"), (F.col("m") - F.col("top.m")).alias("m2"), (F.col("w") - F.col("top.w")).alias("w2"), "m", "w")
+    sizes = sizes.select(by, "top", blocks("m", "w").alias("b0"), blocks("m1", "w1").alias("b1"), blocks("m2", "w2").alias("b2"))
+    rows = rows.join(sizes, by)
+    major = F.col("comp") == F.col("top")
+    at = F.pmod(F.xxhash64("id"), F.when(major, F.col("b1")).otherwise(F.col("b2"))).cast("int")
+    rows = rows.withColumn("at", at)
+
+    def keys(count, side, key):
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda j: F.struct(F.lit(side).alias("side"), key(j).alias("key")))
+
+    met = (
+        F.when(F.col("b0") == 1, F.array(F.struct(F.lit(0).alias("side"), F.xxhash64(by).alias("key"))))
+        .when(major, keys("b2", 1, lambda j: F.xxhash64(by, F.lit(1), "at", j)))
+        .otherwise(F.concat(keys("b1", 2, lambda j: F.xxhash64(by, F.lit(1), j, "at")), keys("b2", 0, lambda j: F.xxhash64(by, F.lit(2), F.least("at", j), F.greatest("at", j)))))
+    )
+    return rows.select(F.explode(met).alias("met"), "id", "comp", "sketch").select("met.key", "met.side", "id", "comp", "sketch")
+
+
+def _by_key(rows: DataFrame, columns: list[str], work, distinct: bool = True) -> DataFrame:
     """Pairs (a, b: long) that ``work(lists of the columns)`` yields for each key's rows, streamed key by key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -190,21 +228,22 @@ def _by_key(rows: DataFrame, columns: list[str], work) -> DataFrame:
         if found:
             yield out()
 
-    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    out = rows.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return out.distinct() if distinct else out
 
 
 def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of components in a node (key) that near sketches connect; a spanning forest of them."""
     least = _least(percent)
 
-    def work(comps, sketches):
+    def work(comps, sides, sketches):
         u, c = _Unions(), np.array(comps)
-        for i, js in _near(sketches, c, least):
+        for i, js in _near(sketches, c, sides, least):
             for j in js.tolist():
                 if u.join(comps[i], comps[j]):
                     yield min(comps[i], comps[j]), max(comps[i], comps[j])
 
-    return _by_key(rows, ["comp", "sketch"], work)
+    return _by_key(rows, ["comp", "side", "sketch"], work)
 
 
 def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame, percent: int, size: int) -> DataFrame:
@@ -212,19 +251,27 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
 
     Every pair of a group's documents from different components is tested, by sketch
     and then on full sets, unless links found in the same task already join their
-    components. A group larger than a block is cut into pairs of blocks, so its work
-    spreads over tasks and what leaves them is at most one link a component.
+    components. First sketches alone meet, in pairs of blocks, and name the rows that
+    come near another component there; then these rows' texts move to their pairs.
     """
     least = _least(percent)
-    members = reps.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(groups, "comp").select("id", "comp", "group", "sketch")
-    counts = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = materialize(members.join(counts, "group"))
-    few = members.count() <= BROADCAST_IDS // 10
-    rows = docs.join(F.broadcast(members) if few else members, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "*")
-    rows = rows.select(F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "comp", "sketch", "text")
-
-    def work(comps, sketches, texts):
+    members = reps.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(groups, "comp").select("group", "id", "comp", "n", "sketch")
+    met = materialize(_in_blocks(materialize(members), "group", BLOCK))
+
+    def involved(keys, ids, comps, sides, sketches):
+        seen = set()
+        for i, js in _near(sketches, np.array(comps), sides, least):
+            seen.add(i)
+            seen.update(js.tolist())
+        for i in seen:
+            yield keys[i], ids[i]
+
+    near = _by_key(met.withColumn("of", F.col("key")), ["of", "id", "comp", "side", "sketch"], involved, distinct=False)
+    near = materialize(met.join(near.select(F.col("a").alias("key"), F.col("b").alias("id")), ["key", "id"]))
+    texts = _texts(docs, near.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    rows = near.join(texts, "id").select("key", "comp", "side", "sketch", "text")
+
+    def work(comps, sides, sketches, texts):
         u, c, sets = _Unions(), np.array(comps), {}
 
         def of(i):
@@ -232,13 +279,13 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
                 sets[i] = shingle_set(texts[i], size)
             return sets[i]
 
-        for i, js in _near(sketches, c, least):
+        for i, js in _near(sketches, c, sides, least):
             for j in js.tolist():
                 if u.root(comps[i]) != u.root(comps[j]) and similar(of(i), of(j), percent):
                     u.join(comps[i], comps[j])
                     yield min(comps[i], comps[j]), max(comps[i], comps[j])
 
-    return _by_key(rows, ["comp", "sketch", "text"], work)
+    return _by_key(rows, ["comp", "side", "sketch", "text"], work)
 
 
 def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -269,27 +316,24 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of components that meet near each other in a node; the largest nodes branch on first."""
-    rows = materialize(_mixed(nodes).join(reps.select("id", "sketch"), "id"))
+    rows = materialize(_mixed(nodes).join(reps.select("id", "sketch"), "id").withColumn("n", F.lit(0)))
+
+    def compared(part: DataFrame) -> DataFrame:
+        small = part.where(F.col("size") <= NODE_BLOCK).select("key", F.lit(0).alias("side"), "id", "comp", "sketch")
+        return _node_pairs(small.unionByName(_in_blocks(part.where(F.col("size") > NODE_BLOCK), "key_", NODE_BLOCK)), percent)
+
+    rows = rows.withColumn("key_", F.col("key"))
     few = F.col("size") <= NODE_BLOCKS * NODE_BLOCK
-    out = _node_pairs(_in_blocks(rows.where(few)), percent)
+    out = compared(rows.where(few))
     for level in range(LEVELS):
         large = rows.where(~few)
         if large.isEmpty():
             return out
         first = TREES + 2 * (LEVELS * F.col("tree") + level)  # the tree's own pair of coordinates
         child = [F.xxhash64("key", F.lit(i), F.substring("sketch", 2 * (first + i) + 1, F.lit(2))) for i in (0, 1)]
-        rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "sketch")))
-        out = out.unionByName(_node_pairs(_in_blocks(rows.where(few)), percent))
-    return out.unionByName(_node_pairs(_in_blocks(rows.where(~few)), percent))
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows keyed by pairs of blocks of their node; a node of one block keeps its key."""
-    blocks = F.ceil(F.col("size") / NODE_BLOCK).cast("int")
-    one = rows.where(F.col("size") <= NODE_BLOCK).select("key", "id", "comp", "sketch")
-    many = rows.where(F.col("size") > NODE_BLOCK).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    many = many.select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "*")
-    return one.unionByName(many.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "comp", "sketch"))
+        rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "n", "sketch"))).withColumn("key_", F.col("key"))
+        out = out.unionByName(compared(rows.where(few)))
+    return out.unionByName(compared(rows.where(~few)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
@@ -299,11 +343,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component is what links reach, named by its least id.
     """
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, id_col, text_col, percent, size))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_sets(docs, size))
     sets = rows.where("key is not null and id is not null")
     groups = sets.groupBy("key").agg(F.min("id").alias("rep"))
-    reps = materialize(sets.join(groups.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "mins", "sketch"))
+    reps = materialize(sets.join(groups.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "n", "mins", "sketch"))
     tokens = reps.select("id", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "tree", "id")
     nodes = tokens.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     tokens = materialize(tokens.join(nodes, "key"))

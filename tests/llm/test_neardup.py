@@ -75,6 +75,45 @@ def test_trees_branch_apart(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(600)}
 
 
+def test_great_groups_move_little(spark):
+    """20,000 joined copies and a few strangers: rows in proportion to the group, each pair across it in one task."""
+    rows = [(7, i, 0, 50, b"") for i in range(20_000)] + [(7, 20_000 + i, 20_000 + i // 2, 50, b"") for i in range(6)] + [(8, 30_000 + i, i % 2, 50, b"") for i in range(3)]
+    d = spark.createDataFrame(rows, "group long, id long, comp long, n long, sketch binary")
+    met = neardup._in_blocks(d, "group", 384).collect()
+    assert len(met) <= 20_000 + 6 * (20_000 // 384 + 2) + 3
+    by = {}
+    for r in met:
+        by.setdefault(r.key, []).append(r)
+    assert max(map(len, by.values())) < 600
+    seen = {}
+    for own in by.values():
+        for i, x in enumerate(own):
+            for y in own[i + 1 :] if len(own) < 50 or x.comp == 0 else [y for y in own[i + 1 :] if y.comp == 0]:
+                if x.comp != y.comp and (x.side == 0 or x.side != y.side):
+                    seen[min(x.id, y.id), max(x.id, y.id)] = 1
+    assert all((i, 20_000 + k) in seen for i in range(20_000) for k in range(6)) and (20_000, 20_002) in seen and (30_000, 30_001) in seen
+
+
+def test_blocks_by_shingles(spark):
+    """A few very long texts are spread like many short ones."""
+    rows = [(7, i, i, 1_500_000, b"") for i in range(8)]
+    d = spark.createDataFrame(rows, "group long, id long, comp long, n long, sketch binary")
+    met = neardup._in_blocks(d, "group", 384).collect()
+    ids = {}
+    for r in met:
+        ids.setdefault((r.key, r.side), set()).add(r.id)
+    assert len(ids) > 8
+
+
+def test_near_copies_and_an_outlier(spark, monkeypatch):
+    """A third of all rows in one group of near copies; one text near them by sketch links with none."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:199], f"tail{i}"])) for i in range(600)] + [(5000, " ".join([*base[:150], *(f"x{i}" for i in range(50))]))] + [(6000 + i, " ".join(f"r{i}x{k}" for k in range(30))) for i in range(1200)]
+    got = {r.id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: 0 if i < 600 else i for i in got} and len(got) == len(rows)
+
+
 def test_chains_and_repeated_rows(spark):
     w = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(w[i * 8 : i * 8 + 100])) for i in range(8)] * 2
