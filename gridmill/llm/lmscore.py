@@ -51,7 +51,7 @@ GROWTH, LEVELS = 1.5, 63
 PROBES = 5
 BITS_AN_ITEM = 9
 #: Pairs of a segment of the filter, and tokens that a task counts at a time.
-SEGMENT, BLOCK = 1 << 20, 2_500_000
+SEGMENT, BLOCK = 1 << 20, 1_500_000
 #: Bytes of text scored at a time, but for a longer text.
 PIECE = 2 << 20
 #: Bytes of (compressed) input a slice of the key space, and the most slices.
@@ -213,8 +213,8 @@ def _parts(texts: DataFrame, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PART, strict=True)], schema=_PART)
 
         for b in it:
-            for t in b.column(0).to_pylist():
-                held.append(_with_end(t))
+            for t in b.column(0):
+                held.append(_with_end(t.as_py()))
                 size += len(held[-1])
                 if size > BLOCK:
                     yield from out()
