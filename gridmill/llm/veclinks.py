@@ -12,7 +12,9 @@ height (Becker, Ducas, Gama and Laarhoven 2016). Vectors that share a filter are
 compared exactly, in double precision.
 
 The number of directions is chosen so that two vectors at the threshold share
-``SHARED`` filters on average. Equal vectors of a label collapse first, so a
+``SHARED`` filters on average; in few dimensions, where no direction is rare, caps are
+wider. One plan serves vectors of any length. Vectors are scaled by a power of two
+before any square, so neither tiny nor huge components under- or overflow. Equal vectors of a label collapse first, so a
 group of copies is one vector with a multiplicity. A filter with too many vectors
 is compared in blocks of fixed size, spread over tasks; none is capped.
 
@@ -24,29 +26,39 @@ never link; rows that share an id count as separate vectors.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 from .components import connected_components
 
-SHARED = 64
+SHARED = 32
 BLOCKS = 2
-CODES = 8
+CODES = 16
 BLOCK = 512
 
 
-@cache
+@lru_cache(CODES * 4)
 def _rotation(dim: int, code: int) -> np.ndarray:
     """A fixed random orthogonal matrix, made where it is used."""
     q, r = np.linalg.qr(np.random.default_rng((2718, dim, code)).standard_normal((dim, dim)))
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows turned to a largest component between 1/2 and 1, exactly."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(-1, keepdims=True))
+
+
 class Caps:
     """Product codes for vectors of one dimension."""
 
@@ -76,9 +88,10 @@ class Caps:
         return at[sums >= self.height]
 
 
+@lru_cache(64)
 def plan_caps(n: int, dim: int, cosine: float) -> Caps:
     """Height from the number of vectors, so that caps hold few strangers; words from the wanted overlap."""
-    height = min(4.2, max(1.5, math.sqrt(2 * math.log(max(n, 192) / 64))))
+    height = min(4.2, math.sqrt(dim) + 0.5, max(1.5, math.sqrt(2 * math.log(max(n, 192) / 64))))
     rng = np.random.default_rng(3)
     # P(both products reach the height) for Gaussian directions and unit vectors at the threshold.
     x = height + rng.exponential(1 / height, 200_000)  # tail of a Gaussian, reweighted
@@ -101,6 +114,7 @@ def _usable(id_col: str, vec_col: str, label_col: str):
 
 def _linked(x: np.ndarray, cosine: float) -> np.ndarray:
     """Which rows of x link; values within rounding of the threshold are taken again one by one."""
+    x = _scaled(x)
     norm = np.sqrt((x * x).sum(1))
     cos = (x @ x.T) / (norm[:, None] * norm)
     out = cos >= cosine
@@ -189,6 +203,11 @@ def _bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
 def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept) of every row of ``df``."""
     small_batches(df.sparkSession)
+    with scratch(df.sparkSession) as keep:
+        return keep(_vector_links(df, id_col, vec_col, label_col, cosine))
+
+
+def _vector_links(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosine: float) -> DataFrame:
     even = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # signed zeros are equal numbers
     every = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), _numbers(df, vec_col).alias("v"))
     ok = _usable("id", "v", "label")
@@ -196,29 +215,24 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     rows = materialize(rows.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("v"))), 256)))
     classes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
-    found = None
-    for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # a row a length of vectors
-        caps = plan_caps(r.n, r.dim, cosine)
-
-        def decode(it, caps=caps):
-            for b in it:
-                got = [caps.decode(x / np.sqrt((x * x).sum())) for x in (np.array(v, float) for v in b.column("v").to_pylist())]
-                yield b.append_column("filters", pa.array(got, pa.list_(pa.int32())))
-
-        own = classes.where(F.size("v") == r.dim).select("cid", "label", "n", "v")
-        own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v {classes.schema['v'].dataType.simpleString()}, filters array<int>"))
-        member = own.select("cid", "label", F.explode("filters").alias("filter"))
-        sizes = member.groupBy("filter", "label").agg(F.count("*").alias("size")).where("size > 1")
-        put = member.join(sizes, ["filter", "label"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        put = put.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        put = put.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        put = put.select("cid", "filter", "block", "other", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "label")
-        put = put.select("cid", "filter", "block", (F.col("lo") != F.col("hi")).alias("across"), F.xxhash64("filter", "label", "lo", "hi").alias("key"))
-        links = _bucket_links(put.join(own.select("cid", "n", "v", "filters"), "cid"), cosine)
-        found = links if found is None else found.unionByName(links)
-    if found is None:
-        found = df.sparkSession.createDataFrame([], "cid long, peer long, others long")
-    found = materialize(found.groupBy("cid", "peer").agg(F.sum("others").alias("others")))
+    n = classes.count()
+
+    def decode(it):
+        for b in it:
+            got = [plan_caps(n, len(x), cosine).decode(_unit(x)) for x in (np.array(v, float) for v in b.column("v").to_pylist())]
+            yield b.append_column("filters", pa.array(got, pa.list_(pa.int32())))
+
+    own = classes.select("cid", "label", "n", "v")
+    own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v {classes.schema['v'].dataType.simpleString()}, filters array<int>"))
+    bucket = ["filter", "label", "dim"]
+    member = own.select("cid", "label", F.size("v").alias("dim"), F.explode("filters").alias("filter"))
+    sizes = member.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
+    put = member.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    put = put.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    put = put.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    put = put.select("cid", *bucket, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    put = put.select("cid", "filter", "block", (F.col("lo") != F.col("hi")).alias("across"), F.xxhash64(*bucket, "lo", "hi").alias("key"))
+    found = materialize(_bucket_links(put.join(own.select("cid", "n", "v", "filters"), "cid"), cosine).groupBy("cid", "peer").agg(F.sum("others").alias("others")))
     count = found.groupBy("cid").agg(F.sum("others").alias("others"))
     linked = found.select(F.col("cid").alias("a"), F.col("peer").alias("b"))
     comp = connected_components(linked).withColumnRenamed("id", "cid")
