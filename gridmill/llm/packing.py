@@ -10,7 +10,8 @@ Documents take their places by a distributed rank in (bucket, id) order: a range
 shuffle of ids, and one row a partition and bucket for the offsets, so a bucket with
 a third of all documents spreads over many tasks.
 
-Defined cases: empty texts have length 0; a document longer than the budget fills a
+Defined cases: empty texts and null lengths count as 0; columns but the id and the length
+are not read; a document longer than the budget fills a
 batch of its own; repeated rows are packed one by one; null ids come first.
 """
 
@@ -81,7 +82,7 @@ def pack(rows: DataFrame, length_col: str, id_col: str = "doc_id", buckets: int
 
     ``batch`` numbers the batches inside a bucket. Only the id and the length move.
     """
-    rows = materialize(rows.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length")))
+    rows = materialize(rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length")))
     hist = sorted((r.length, r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())
     bounds = optimal_boundaries([x for x, _ in hist], [c for _, c in hist], buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
