@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Most rows and bytes of one Arrow batch handed to Python; they bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+#: Most partitions of a work list.
+MOST_TASKS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,10 +125,9 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
-def spread(df: DataFrame, key: str = "task") -> DataFrame:
-    """Give each row of a small work list a partition of its own."""
-    n = df.count()
-    return df.repartitionByRange(max(1, n), key)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give each row of a work list, of distinct keys, a partition of its own, or neighbours one if they are many."""
+    return df.repartitionByRange(max(1, min(df.count(), MOST_TASKS)), *keys)
 
 
 def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
