@@ -2,12 +2,13 @@
 
 A shard holds the ids of consecutive documents as one array of unsigned 16 or 32
 bit integers, and the document ends as an Elias-Fano sequence: low bits packed at
-a fixed width, high bits in unary. ``select`` finds the k-th end from sampled
-positions of the unary part, so offsets come from about 2 + log2(tokens / documents)
-bits a document, without a table of 64-bit offsets. Document ids, ascending, are a
-second such sequence.
+a fixed width, high bits in unary. ``select`` finds the k-th end from the stored
+position of every ``SAMPLE``-th one of the unary part and a scan of the few words behind
+it, so offsets come from about 2 + log2(tokens / documents) bits a document, without a
+table of 64-bit offsets; readers walk a shard by such blocks. Document ids, ascending,
+are a second such sequence.
 
-File layout (little endian): magic ``GMTK1``, then per section a 8-byte length and
+File layout (little endian): magic ``GMTK2``, then per section a 8-byte length and
 its bytes: header (JSON: documents, tokens, nulls, id base, width), boundaries, ids
 of documents, token ids.
 
@@ -23,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import get_file, put_file, shared_dir, small_batches, spread
 
-_MAGIC = b"GMTK1"
+_MAGIC = b"GMTK2"
+#: Ends of a block: one stored position each.
+SAMPLE = 256
 
 
 class EliasFano:
     """A nondecreasing sequence of integers below ``universe``."""
 
-    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.count, self.low_bits, self.low, self.high = count, low_bits, low, high
-        # Sampled select: ones before each 64-bit word, then one scan of a word.
-        pad = np.zeros(-(-len(high) // 8) * 8, np.uint8)
-        pad[: len(high)] = high
-        self._words = pad.view("<u8")
-        self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(self._words).astype(np.int64))])
+    def __init__(self, count: int, low_bits: int, low: np.ndarray, samples: np.ndarray, high: np.ndarray):
+        self.count, self.low_bits, self.low, self.samples, self.high = count, low_bits, low, samples, high
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -55,39 +54,51 @@ class EliasFano:
         ones = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
-        return cls(n, l, low, np.packbits(bits, bitorder="little"))
+        return cls(n, l, low, ones[::SAMPLE].astype("<u8"), np.packbits(bits, bitorder="little"))
+
+    def _low(self, a: int, b: int) -> np.ndarray:
+        """Low bits of the values a to b."""
+        if not self.low_bits:
+            return np.zeros(b - a, np.int64)
+        first, last = a * self.low_bits, b * self.low_bits
+        bits = np.unpackbits(self.low[first >> 3 : (last + 7) >> 3], bitorder="little")[first & 7 : (first & 7) + last - first]
+        return (bits.reshape(b - a, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(1)
+
+    def block(self, j: int) -> np.ndarray:
+        """The values j * SAMPLE and on, SAMPLE of them or what is left."""
+        a, b = j * SAMPLE, min(self.count, (j + 1) * SAMPLE)
+        first = int(self.samples[j]) >> 3
+        last = (int(self.samples[j + 1]) + 7) >> 3 if j + 1 < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + 8 * first
+        ones = ones[ones >= int(self.samples[j])][: b - a]
+        return ((ones - np.arange(a, b)) << self.low_bits) | self._low(a, b)
 
     def select(self, k: int) -> int:
-        """The k-th value (from 0)."""
-        w = int(np.searchsorted(self._before, k, "right")) - 1
-        word, left = int(self._words[w]), k - int(self._before[w])
+        """The k-th value (from 0): from the sample before it, a word at a time."""
+        at, left = int(self.samples[k // SAMPLE]), k % SAMPLE
+        w = at >> 6
+        word = int.from_bytes(self.high[8 * w : 8 * w + 8].tobytes(), "little") >> (at & 63) << (at & 63)
+        while (ones := word.bit_count()) <= left:
+            left -= ones
+            w += 1
+            word = int.from_bytes(self.high[8 * w : 8 * w + 8].tobytes(), "little")
         for _ in range(left):
             word &= word - 1
         high = w * 64 + (word & -word).bit_length() - 1 - k
-        low = 0
-        for b in range(self.low_bits):
-            at = k * self.low_bits + b
-            low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << b
-        return high << self.low_bits | low
+        return high << self.low_bits | int(self._low(k, k + 1)[0])
 
     def values(self) -> np.ndarray:
         """All values at once."""
-        if not self.count:
-            return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        out = (ones - np.arange(self.count)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.count * self.low_bits].reshape(self.count, self.low_bits).astype(np.int64)
-            out = out | (bits << np.arange(self.low_bits)).sum(1)
-        return out
+        return np.concatenate([np.zeros(0, np.int64), *(self.block(j) for j in range(len(self.samples)))])
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQ", self.count, self.low_bits, len(self.low)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QBQQ", self.count, self.low_bits, len(self.low), len(self.samples)) + self.low.tobytes() + self.samples.tobytes() + self.high.tobytes()
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> EliasFano:
-        n, l, size = struct.unpack_from("<QBQ", raw)
-        return cls(n, l, np.frombuffer(raw, np.uint8, size, 17), np.frombuffer(raw, np.uint8, offset=17 + size))
+    def from_bytes(cls, raw) -> EliasFano:
+        n, l, low, samples = struct.unpack_from("<QBQQ", raw)
+        at = struct.calcsize("<QBQQ")
+        return cls(n, l, np.frombuffer(raw, np.uint8, low, at), np.frombuffer(raw, "<u8", samples, at + low), np.frombuffer(raw, np.uint8, offset=at + low + 8 * samples))
 
 
 def shard_bytes(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -111,7 +122,7 @@ class Shard:
             parts.append(view[at + 8 : at + 8 + n])
             at += 8 + n
         self.head = json.loads(bytes(parts[0]))
-        self.ends, self._ids = EliasFano.from_bytes(bytes(parts[1])), EliasFano.from_bytes(bytes(parts[2]))
+        self.ends, self._ids = EliasFano.from_bytes(parts[1]), EliasFano.from_bytes(parts[2])
         self.tokens = np.frombuffer(parts[3], f"<u{self.head['width']}")
 
     def __len__(self) -> int:
@@ -124,8 +135,18 @@ class Shard:
         a, b = self.bounds(k)
         return self.tokens[a:b]
 
+    def blocks(self) -> Iterator[tuple[int, list[int | None], np.ndarray]]:
+        """(first place, ids, bounds) of runs of documents, by the samples of the ends; one bound more than ids."""
+        nulls, at = self.head["nulls"], 0
+        more = (i + self.head["base"] for j in range(len(self._ids.samples)) for i in self._ids.block(j).tolist())
+        known = chain(repeat(None, nulls), more)
+        for j in range(len(self.ends.samples)):
+            ends = self.ends.block(j)
+            yield j * SAMPLE, list(islice(known, len(ends))), np.concatenate([[at], ends])
+            at = int(ends[-1])
+
     def ids(self) -> list[int | None]:
-        return [None] * self.head["nulls"] + (self._ids.values() + self.head["base"]).tolist()
+        return [i for _, ids, _ in self.blocks() for i in ids]
 
 
 _CACHES: dict[tuple, _Encoder] = {}
@@ -295,14 +316,13 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
         for b in it:
             for s in b.to_pylist():
                 shard = Shard(get_file(s["path"]))
-                ends = shard.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = shard.tokens.astype("<u4")
-                crc = [zlib.crc32(wide[a:e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [shard.ids(), starts + s["start"], ends - starts, crc, [s["path"]] * len(ends), range(len(ends))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    return spread(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, k long")
+                for first, ids, bounds in shard.blocks():
+                    wide, cuts = shard.tokens[bounds[0] : bounds[-1]].astype("<u4"), (bounds - bounds[0]).tolist()
+                    crc = [zlib.crc32(wide[a:e]) for a, e in zip(cuts, cuts[1:], strict=False)]
+                    cols = [ids, bounds[:-1] + s["start"], np.diff(bounds), crc, [s["path"]] * len(ids), range(first, first + len(ids))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return spread(shards, "task").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, k long")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, by_word: bool = False, folder: str | None = None, **cols) -> DataFrame:
