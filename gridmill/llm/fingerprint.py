@@ -14,16 +14,21 @@ A coordinate is one hex digit of the fingerprint, a hash of the emitted characte
 widely, so ``WALKS`` independent ones are kept, and ``likeness`` is the best of them:
 the share of equal coordinates, corrected for chance.
 
-``near_pairs`` bands sampled coordinates, joins equal bands and verifies
-candidates on all coordinates.
+``near_classes`` finds texts of near fingerprints: bands of bit-sampled coordinates, each
+within one walk since a single walk may carry the likeness, put texts into buckets;
+those that meet are verified on all coordinates. A pair at ``NEAR`` shares one of a
+walk's ``BANDS`` bands of ``WIDTH`` coordinates with a probability of 0.96, likelier ones
+more so. Equal fingerprints count once; a bucket is first compared with its least text
+and only buckets that still hold two classes are compared whole, in pairs of blocks.
 
 Defined cases: null text = empty text; two empty texts have likeness 1, an empty
 and a non-empty one 0; equal texts have equal fingerprints; repeated ids stay
-separate rows.
+separate rows, each its own class by its least row; empty texts are a class each.
 """
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -31,7 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
+from .components import connected_components
+from .groups import Unions, by_key, in_blocks, mixed
+from .words import joined
 
 WALKS = 3
 COORDINATES = 128  # of each walk
@@ -42,6 +50,8 @@ _END = 256  # symbol behind every text; the cursor never leaves it
 BLOCK_CHARS = 12_000_000
 #: Share of coordinates at which unrelated prose agrees by chance.
 CHANCE = 0.125
+#: Likeness of texts that share a class; bands of a walk and coordinates of a band; rows of a block.
+NEAR, BANDS, WIDTH, BLOCK = 0.9, 12, 16, 768
 
 
 @cache
@@ -172,27 +182,80 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rest.mapInArrow(run, schema)
 
 
-def near_pairs(prints: DataFrame, id_col: str = "doc_id", min_likeness: float = 0.5, bands: int = 24, width: int = 8) -> DataFrame:
-    """Pairs (a, b, likeness) of distinct fingerprints that share a band and verify.
+def _coordinates() -> list[np.ndarray]:
+    """The coordinates of each band, drawn within one walk; the same for all texts."""
+    rng = np.random.default_rng(5)
+    return [w * COORDINATES + rng.choice(COORDINATES, WIDTH, replace=False) for w in range(WALKS) for _ in range(BANDS)]
+
+
+def _least_equal(min_likeness: float) -> int:
+    """Equal coordinates of a walk from which the likeness is reached."""
+    return math.ceil(COORDINATES * (min_likeness * (1 - CHANCE) + CHANCE) - 1e-9)
+
+
+def _alike(prints: np.ndarray, one: np.ndarray, least: int) -> np.ndarray:
+    return (prints == one).reshape(-1, WALKS, COORDINATES).sum(2).max(1) >= least
+
+
+def _matrix(prints) -> np.ndarray:
+    return np.frombuffer("".join(prints).encode(), np.uint8).reshape(-1, WALKS * COORDINATES)
 
-    Equal fingerprints collapse to the least id first, so a group of copies costs
-    one row; empty texts are left out. Bands hold ``width`` coordinates sampled by a
-    fixed draw. A band value shared by many texts is compared through the join, which
-    adaptive execution splits; pairs are verified on all coordinates.
+
+def near_classes(prints: DataFrame, id_col: str = "id", min_likeness: float = NEAR) -> DataFrame:
+    """(fingerprint, near_class) of all distinct fingerprints: the least id that near fingerprints reach.
+
+    ``prints`` has an id and a fingerprint. What a bucket passes on is linear in its rows.
     """
-    rng = np.random.default_rng(5)
-    reps = prints.where("fingerprint <> '-'").groupBy("fingerprint").agg(F.min(id_col).alias("id"))
-    band = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(c) + 1, 1) for c in rng.choice(WALKS * COORDINATES, width, replace=False)]) for k in range(bands)]
-    rows = reps.select("id", "fingerprint", F.explode(F.array(*band)).alias("band"))
-    x, y = rows.alias("x"), rows.alias("y")
-    cand = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.fingerprint").alias("fa"), F.col("y.fingerprint").alias("fb")).distinct()
-    def same(walk: int):
-        at = F.sequence(F.lit(walk * COORDINATES + 1), F.lit((walk + 1) * COORDINATES))
-        return F.aggregate(at, F.lit(0), lambda n, i: n + (F.substring("fa", i, 1) == F.substring("fb", i, 1)).cast("int"))
-
-    best = F.greatest(*[same(w) for w in range(WALKS)])
-    score = F.greatest(F.lit(0.0), (best / F.lit(float(COORDINATES)) - CHANCE) / (1 - CHANCE))
-    return cand.select("a", "b", score.alias("likeness")).where(F.col("likeness") >= min_likeness)
+    least = _least_equal(min_likeness)
+    each = prints.groupBy("fingerprint").agg(F.min(id_col).alias("low"))
+    reps = materialize(each.withColumn("id", F.monotonically_increasing_id()))
+    bands = _coordinates()
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def banded(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            m, ids = _matrix(b.column("fingerprint").to_pylist()), b.column("id").to_numpy()
+            for k, at in enumerate(bands):
+                own = np.ascontiguousarray(m[:, at]).view("<u8").astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(joined([np.full(len(ids), k, np.uint64), own[:, 0], own[:, 1]]).view(np.int64)), pa.array(ids)], schema=schema)
+
+    rows = reps.where("fingerprint <> '-'").select("id", "fingerprint").mapInArrow(banded, "key long, id long")
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    rows = materialize(rows.join(shared, "key"))
+    stars = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    first = materialize(connected_components(_verified(stars, reps, least)))
+    named = rows.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    left = materialize(mixed(named)).join(reps.select("id", "fingerprint"), "id").withColumn("n", F.lit(0))
+
+    def work(ids, comps, sides, prints):
+        u, m, c, side = Unions(), _matrix(prints), np.array(comps), np.array(sides)
+        for i in range(len(m) - 1):
+            other = np.flatnonzero((c[i + 1 :] != c[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))) + i + 1
+            for j in other[_alike(m[other], m[i], least)].tolist() if len(other) else ():
+                if u.join(comps[i], comps[j]):
+                    yield min(comps[i], comps[j]), max(comps[i], comps[j])
+
+    more = by_key(in_blocks(left, "key", BLOCK, "fingerprint"), ["id", "comp", "side", "fingerprint"], work)
+    links = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    comp = connected_components(links)
+    named = materialize(reps.join(comp, "id", "left").select("fingerprint", "low", F.coalesce("component", "id").alias("comp")))
+    lows = named.groupBy("comp").agg(F.min("low").alias("near_class"))
+    return named.join(lows, "comp").select("fingerprint", "near_class")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are near."""
+    rows = pairs.join(reps.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b").join(reps.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a").select("a", "b", "fa", "fb")
+
+    def run(it):
+        for x in it:
+            if x.num_rows:
+                ok = _alike(_matrix(x.column("fa").to_pylist()), _matrix(x.column("fb").to_pylist()), least)
+                yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _rank(cuts: list[int], base: int = 0):

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, materialize, scratch, small_batches
 from .components import connected_components
+from .groups import Unions, by_key, in_blocks, mixed
 from .words import shingle_set
 
 TREES = 12
@@ -50,9 +51,8 @@ SKETCH = 128
 #: Levels below the root; each takes two sketch coordinates of a tree's own, so TREES * (1 + 2 * LEVELS) <= SKETCH.
 LEVELS = 4
 #: Rows of a block, where a group is compared in pairs of blocks with its texts, and a
-#: node with its sketches; shingles of a block's texts. A node of more than so many blocks branches on first.
+#: node with its sketches. A node of more than so many blocks branches on first.
 BLOCK, NODE_BLOCK, NODE_BLOCKS = 384, 768, 8
-BLOCK_SHINGLES = 2_000_000
 #: Trees in which a member must meet the same least member to be confirmed in step 1.
 MEETINGS = 4
 #: Most ids that a broadcast may hold: about 10 MB.
@@ -138,21 +138,6 @@ def _least(percent: int) -> int:
     return int(np.floor(SKETCH * (j - 5 * np.sqrt(j * (1 - j) / SKETCH))))
 
 
-class _Unions:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _near(sketches: list[bytes], comps: np.ndarray, sides: list[int], least: int):
     """(i, js): for each row the later rows of other components whose sketches come near.
 
@@ -168,82 +153,18 @@ def _near(sketches: list[bytes], comps: np.ndarray, sides: list[int], least: int
                 yield i, js
 
 
-def _in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows keyed by pairs of blocks of their node or group ``by`` (columns id, comp, n), with their side there.
-
-    One that fits a block keeps one key. Of a larger one the largest component's blocks
-    (side 1) each meet all blocks of the rest (side 2), and those meet each other (side 0).
-    """
-    def blocks(count, shingles):
-        return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(count) / block, F.col(shingles) / BLOCK_SHINGLES))).cast("int")
-
-    sizes = rows.groupBy(by, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    sizes = sizes.groupBy(by).agg(F.max(F.struct("m", "comp", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
-    sizes = sizes.select(by, F.col("top.comp").alias("top"), F.col("top.m").alias("m1"), F.col("top.w").alias("w1"), (F.col("m") - F.col("top.m")).alias("m2"), (F.col("w") - F.col("top.w")).alias("w2"), "m", "w")
-    sizes = sizes.select(by, "top", blocks("m", "w").alias("b0"), blocks("m1", "w1").alias("b1"), blocks("m2", "w2").alias("b2"))
-    rows = rows.join(sizes, by)
-    major = F.col("comp") == F.col("top")
-    at = F.pmod(F.xxhash64("id"), F.when(major, F.col("b1")).otherwise(F.col("b2"))).cast("int")
-    rows = rows.withColumn("at", at)
-
-    def keys(count, side, key):
-        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda j: F.struct(F.lit(side).alias("side"), key(j).alias("key")))
-
-    met = (
-        F.when(F.col("b0") == 1, F.array(F.struct(F.lit(0).alias("side"), F.xxhash64(by).alias("key"))))
-        .when(major, keys("b2", 1, lambda j: F.xxhash64(by, F.lit(1), "at", j)))
-        .otherwise(F.concat(keys("b1", 2, lambda j: F.xxhash64(by, F.lit(1), j, "at")), keys("b2", 0, lambda j: F.xxhash64(by, F.lit(2), F.least("at", j), F.greatest("at", j)))))
-    )
-    return rows.select(F.explode(met).alias("met"), "id", "comp", "sketch").select("met.key", "met.side", "id", "comp", "sketch")
-
-
-def _by_key(rows: DataFrame, columns: list[str], work, distinct: bool = True) -> DataFrame:
-    """Pairs (a, b: long) that ``work(lists of the columns)`` yields for each key's rows, streamed key by key."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(it):
-        key, held, found = None, [[] for _ in columns], []
-
-        def out():
-            a, b = zip(*found, strict=True)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
-        def close():
-            if len(held[0]) > 1:
-                found.extend(work(*held))
-            for h in held:
-                h.clear()
-
-        for x in it:
-            for k, *row in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if k != key:
-                    close()
-                    key = k
-                for h, v in zip(held, row, strict=True):
-                    h.append(v)
-            if len(found) > 100_000:
-                yield out()
-        close()
-        if found:
-            yield out()
-
-    out = rows.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    return out.distinct() if distinct else out
-
-
 def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of components in a node (key) that near sketches connect; a spanning forest of them."""
     least = _least(percent)
 
     def work(comps, sides, sketches):
-        u, c = _Unions(), np.array(comps)
+        u, c = Unions(), np.array(comps)
         for i, js in _near(sketches, c, sides, least):
             for j in js.tolist():
                 if u.join(comps[i], comps[j]):
                     yield min(comps[i], comps[j]), max(comps[i], comps[j])
 
-    return _by_key(rows, ["comp", "side", "sketch"], work)
+    return by_key(rows, ["comp", "side", "sketch"], work)
 
 
 def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame, percent: int, size: int) -> DataFrame:
@@ -256,7 +177,7 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
     """
     least = _least(percent)
     members = reps.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(groups, "comp").select("group", "id", "comp", "n", "sketch")
-    met = materialize(_in_blocks(materialize(members), "group", BLOCK))
+    met = materialize(in_blocks(materialize(members), "group", BLOCK, "sketch"))
 
     def involved(keys, ids, comps, sides, sketches):
         seen = set()
@@ -266,13 +187,13 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
         for i in seen:
             yield keys[i], ids[i]
 
-    near = _by_key(met.withColumn("of", F.col("key")), ["of", "id", "comp", "side", "sketch"], involved, distinct=False)
+    near = by_key(met.withColumn("of", F.col("key")), ["of", "id", "comp", "side", "sketch"], involved, distinct=False)
     near = materialize(met.join(near.select(F.col("a").alias("key"), F.col("b").alias("id")), ["key", "id"]))
     texts = _texts(docs, near.select(F.col("id").alias("a"), F.col("id").alias("b")))
     rows = near.join(texts, "id").select("key", "comp", "side", "sketch", "text")
 
     def work(comps, sides, sketches, texts):
-        u, c, sets = _Unions(), np.array(comps), {}
+        u, c, sets = Unions(), np.array(comps), {}
 
         def of(i):
             if i not in sets:
@@ -285,7 +206,7 @@ def _links(docs: DataFrame, reps: DataFrame, comps: DataFrame, groups: DataFrame
                     u.join(comps[i], comps[j])
                     yield min(comps[i], comps[j]), max(comps[i], comps[j])
 
-    return _by_key(rows, ["comp", "side", "sketch", "text"], work)
+    return by_key(rows, ["comp", "side", "sketch", "text"], work)
 
 
 def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -308,19 +229,13 @@ def _renamed(pairs: DataFrame, names: DataFrame, column: str) -> DataFrame:
     return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold two components at least, with the node's size."""
-    nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
-    return rows.drop("size").join(nodes, "key")
-
-
 def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of components that meet near each other in a node; the largest nodes branch on first."""
-    rows = materialize(_mixed(nodes).join(reps.select("id", "sketch"), "id").withColumn("n", F.lit(0)))
+    rows = materialize(mixed(nodes).join(reps.select("id", "sketch"), "id").withColumn("n", F.lit(0)))
 
     def compared(part: DataFrame) -> DataFrame:
         small = part.where(F.col("size") <= NODE_BLOCK).select("key", F.lit(0).alias("side"), "id", "comp", "sketch")
-        return _node_pairs(small.unionByName(_in_blocks(part.where(F.col("size") > NODE_BLOCK), "key_", NODE_BLOCK)), percent)
+        return _node_pairs(small.unionByName(in_blocks(part.where(F.col("size") > NODE_BLOCK), "key_", NODE_BLOCK, "sketch")), percent)
 
     rows = rows.withColumn("key_", F.col("key"))
     few = F.col("size") <= NODE_BLOCKS * NODE_BLOCK
@@ -331,7 +246,7 @@ def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             return out
         first = TREES + 2 * (LEVELS * F.col("tree") + level)  # the tree's own pair of coordinates
         child = [F.xxhash64("key", F.lit(i), F.substring("sketch", 2 * (first + i) + 1, F.lit(2))) for i in (0, 1)]
-        rows = materialize(_mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "n", "sketch"))).withColumn("key_", F.col("key"))
+        rows = materialize(mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "n", "sketch"))).withColumn("key_", F.col("key"))
         out = out.unionByName(compared(rows.where(few)))
     return out.unionByName(compared(rows.where(~few)))
 

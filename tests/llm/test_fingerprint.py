@@ -50,12 +50,63 @@ def test_likeness_follows_edits():
     assert fp.likeness("-", "-") == 1 and fp.likeness("-", fp.fingerprints(["a"])[0]) == 0
 
 
-def test_near_pairs(spark):
+def _brute_classes(rows, near):
+    """Least ids that likeness of ``near`` or more reaches, every pair compared."""
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, (i, x) in enumerate(rows):
+        for j, y in rows[a + 1 :]:
+            if x == y or x != "-" and y != "-" and fp.likeness(x, y) >= near:
+                p, q = root(i), root(j)
+                up[max(p, q)] = min(p, q)
+    return {i: root(i) for i, _ in rows}
+
+
+def _change(r, print_, share, walk):
+    """A fingerprint equal at just that share of one walk's coordinates, and like a stranger on the others."""
+    out = list("".join(r.choice("0123456789abcdef") for _ in print_))
+    own = range(walk * fp.COORDINATES, (walk + 1) * fp.COORDINATES)
+    kept = r.sample(own, round(share * fp.COORDINATES))
+    for i in own:
+        out[i] = print_[i] if i in set(kept) else "f" if print_[i] == "0" else "0"
+    return "".join(out)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs that only one walk joins, with just enough equal coordinates."""
+    r = random.Random(2)
+    share = fp._least_equal(fp.NEAR) / fp.COORDINATES
+    rows = []
+    for i in range(600):
+        base = "".join(r.choice("0123456789abcdef") for _ in range(fp.WALKS * fp.COORDINATES))
+        rows += [(2 * i, base), (2 * i + 1, _change(r, base, share, i % 3))]
+        assert fp.NEAR <= fp.likeness(rows[-1][1], base) < fp.NEAR + 0.01
+    got = dict(fp.near_classes(spark.createDataFrame(rows, "id long, fingerprint string")).join(spark.createDataFrame(rows, "id long, fingerprint string"), "fingerprint").select("id", "near_class").collect())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(600)) >= 0.9 * 600
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(600))
+
+
+def test_near_classes_by_brute_force(spark, monkeypatch):
+    """Chains, copies, a bucket that many share; blocks of a few rows."""
+    monkeypatch.setattr(fp, "BLOCK", 7)
     r = random.Random(8)
-    base = [_text(r, 120) for _ in range(6)]
-    rows = [(i, t) for i, t in enumerate(base)] + [(10, base[0] + " tail word"), (11, base[1]), (12, None), (13, "")]
-    d = fp.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fingerprint"))
-    assert {(p.a, p.b) for p in fp.near_pairs(d).collect()} == {(0, 10)}
+    rows = []
+    for i in range(12):
+        p = "".join(r.choice("0123456789abcdef") for _ in range(fp.WALKS * fp.COORDINATES))
+        for _ in range(20):
+            rows.append((len(rows), p))
+            at = r.randrange(len(p) - 4)
+            p = p[:at] + "".join(r.choice("0123456789abcdef") for _ in range(4)) + p[at + 4 :]
+    rows += [(len(rows) + k, rows[0][1]) for k in range(30)] + [(9000, "-"), (9001, "-")]
+    d = spark.createDataFrame(rows, "id long, fingerprint string").repartition(5)
+    got = dict(d.join(fp.near_classes(d), "fingerprint").select("id", "near_class").collect())
+    assert got == _brute_classes(rows, fp.NEAR)
+    assert fp.near_classes(d.limit(0)).count() == 0
 
 
 def test_neighbours_across_ranges(spark):
@@ -79,6 +130,6 @@ def test_query_handles_one_and_no_row(spark, tmp_path):
     d = spark.createDataFrame([(4, "abcdefgh")], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     (r,) = queries.op3_fingerprints(spark, str(tmp_path)).collect()
-    assert (r.doc_id, r.n_chars, r.near_next) == (4, 8, 1.0) and queries.edited("abcdefgh", "abcdefgh") == "abcdefab"
+    assert (r.doc_id, r.n_chars, r.near_next, r.near_class) == (4, 8, 1.0, 4) and queries.edited("abcdefgh", "abcdefgh") == "abcdefab"
     d.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert queries.op3_fingerprints(spark, str(tmp_path)).count() == 0

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gridmill.llm import components, neardup
+from gridmill.llm import components, groups, neardup
 from gridmill.llm.words import word_hashes
 
 
@@ -79,7 +79,7 @@ def test_great_groups_move_little(spark):
     """20,000 joined copies and a few strangers: rows in proportion to the group, each pair across it in one task."""
     rows = [(7, i, 0, 50, b"") for i in range(20_000)] + [(7, 20_000 + i, 20_000 + i // 2, 50, b"") for i in range(6)] + [(8, 30_000 + i, i % 2, 50, b"") for i in range(3)]
     d = spark.createDataFrame(rows, "group long, id long, comp long, n long, sketch binary")
-    met = neardup._in_blocks(d, "group", 384).collect()
+    met = groups.in_blocks(d, "group", 384, "sketch").collect()
     assert len(met) <= 20_000 + 6 * (20_000 // 384 + 2) + 3
     by = {}
     for r in met:
@@ -98,7 +98,7 @@ def test_blocks_by_shingles(spark):
     """A few very long texts are spread like many short ones."""
     rows = [(7, i, i, 1_500_000, b"") for i in range(8)]
     d = spark.createDataFrame(rows, "group long, id long, comp long, n long, sketch binary")
-    met = neardup._in_blocks(d, "group", 384).collect()
+    met = groups.in_blocks(d, "group", 384, "sketch").collect()
     ids = {}
     for r in met:
         ids.setdefault((r.key, r.side), set()).add(r.id)
