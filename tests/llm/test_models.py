@@ -149,10 +149,53 @@ def test_held_out_documents(spark):
     y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     out = [(y[i], r.predicted) for i, r in s.items() if r.held_out and i in y]
     hit, clean = [p for t, p in out if t == 1], [p for t, p in out if t == 0]
-    assert np.mean(hit) >= 0.5 and np.mean(clean) <= 0.01
+    assert np.mean(hit) >= 0.7 and np.mean(clean) <= 0.005
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in s.items())
 
 
+def _slow_kn(toxic, ordinary, word):
+    """The model letter by letter, from the definition."""
+    def grams(w):
+        s = [0] * (toxicity.ORDER - 2) + [2, *w, 3]
+        for i in range(toxicity.ORDER - 1, len(s)):
+            for n in range(toxicity.ORDER):
+                yield n, tuple(s[i - n : i]), s[i], i - (toxicity.ORDER - 1) < n
+
+    raw = [Counter(), Counter()]
+    for c, counts in enumerate((toxic, ordinary)):
+        for w, k in counts.items():
+            for g in grams(w):
+                raw[c][g] += k
+    every = set(raw[0]) | set(raw[1])
+
+    def count(c, n, ctx, x, framed):
+        if n == toxicity.ORDER - 1 or n >= toxicity.SHARED and framed:
+            return raw[c][n, ctx, x, framed]
+        longer = [g for g in every if g[0] == n + 1 and g[1][1:] == ctx and g[2] == x]
+        return len(longer) if n < toxicity.SHARED else sum(raw[c][g] > 0 for g in longer)
+
+    ratio = 0.0
+    for c, sign in ((0, 1), (1, -1)):
+        at = list(grams(word))
+        for a in range(0, len(at), toxicity.ORDER):
+            p = 1 / 256
+            for n, ctx, x, framed in at[a : a + toxicity.ORDER]:
+                own = {g[2]: count(c, n, ctx, g[2], g[3]) for g in every if g[0] == n and g[1] == ctx}
+                total = sum(own.values())
+                if total:
+                    types = sum(v > 0 for v in own.values())
+                    p = max(own.get(x, 0) - toxicity.DISCOUNT, 0) / total + min(toxicity.DISCOUNT * types, total) / total * p
+            ratio += sign * math.log(p)
+    return ratio
+
+
+def test_model_by_its_definition():
+    toxic, ordinary = Counter({b"scum": 5, b"scam": 2, b"the": 9, b"cum": 1}), Counter({b"the": 40, b"then": 7, b"scan": 3, b"hen": 2, b"um": 1})
+    m = toxicity.Model.fit(toxic, ordinary)
+    for w in (b"scum", b"scan", b"then", b"hens", b"zebra", b"u"):
+        assert abs(m.evidence([w])[0][0] - _slow_kn(toxic, ordinary, w)) < 1e-4, w
+
+
 def test_toxicity_rows(spark):
     bad, good = "you are a vile grubbish person today", "the weather is fine and the sea is calm"
     docs = spark.createDataFrame([(i, bad if i % 4 == 0 else good, 1.0) for i in range(200)] + [(900, None, 1.0), (901, "", 1.0), (902, ("fine calm sea " * 20_000) + "grubbish", 1.0), (902, bad, 1.0)], "doc_id long, text string, score double")
