@@ -184,44 +184,45 @@ class Scorer:
     """Remembers the evidence of words while a worker lives."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.place, self.known = model, {}, np.zeros((3, 0))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Places in ``known`` for all words; forgets the others once they are many."""
+        new = list(words - self.place.keys())
+        if len(self.place) + len(new) > 400_000:
+            self.place, self.known = {}, np.zeros((3, 0))
+            new = list(words)
+        at = len(self.place)
+        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+        parts = [np.stack(self.model.evidence(new[a : a + 20_000])) for a in range(0, len(new), 20_000)]
+        self.known = np.concatenate([self.known, *parts], 1)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the evidence of its strongest passage, strongest words and whole, and the log of its length."""
         split = [tokens(t) for t in texts]
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > 400_000:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update(zip(part, zip(*(x.tolist() for x in self.model.evidence(part)), strict=True), strict=True))
+        self._learn({w for ws in split for w in ws})
         out = np.zeros((len(texts), FEATURES))
         for i, ws in enumerate(split):
             out[i, 3] = math.log(len(ws) + 10)
             if not ws:
                 continue
-            plain, backed, letters = np.array(list(map(self.known.__getitem__, ws))).T
+            at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
+            plain, backed, letters = self.known[:, at]
             v = np.clip(backed, WORD_FLOOR, WORD_LIMIT)
-            last: dict[bytes, int] = {}
+            last: dict[int, int] = {}
             for k in np.flatnonzero(v > REPEATED).tolist():
-                if k - last.get(ws[k], -PASSAGE) < PASSAGE:
+                if k - last.get(at[k], -PASSAGE) < PASSAGE:
                     v[k] = 0.0
-                last[ws[k]] = k
+                last[at[k]] = k
             w = min(PASSAGE, len(ws))
             s, n = (np.concatenate([[0.0], np.cumsum(x)]) for x in (v, letters))
             out[i, 0] = max(0.0, ((s[w:] - s[:-w]) / np.maximum(n[w:] - n[:-w], LETTERS)).max())
-            top = np.sort(np.clip(backed[_firsts(ws)], 0.0, WORD_LIMIT))[-STRONGEST:]
+            top = np.sort(np.clip(self.known[1, np.unique(at)], 0.0, WORD_LIMIT))[-STRONGEST:]
             out[i, 1] = top.sum() / STRONGEST
             out[i, 2] = plain.sum() / letters.sum()
         return out
 
 
-def _firsts(words: list[bytes]) -> list[int]:
-    """Where each distinct word stands first."""
-    return list({w: i for i, w in reversed(list(enumerate(words)))}.values())
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
     """Logistic fit by Newton steps, lightly regularised, classes as they occur: (weights, shift)."""
     scale = np.maximum(x.std(0), 1e-6)
