@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 from .components import connected_components
 from .groups import Unions, by_key, in_blocks, mixed
 from .words import joined
@@ -206,7 +206,11 @@ def near_classes(prints: DataFrame, id_col: str = "id", min_likeness: float = NE
 
     ``prints`` has an id and a fingerprint. What a bucket passes on is linear in its rows.
     """
-    least = _least_equal(min_likeness)
+    with scratch(prints.sparkSession) as keep:
+        return keep(_near_classes(prints, id_col, _least_equal(min_likeness)))
+
+
+def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
     each = prints.groupBy("fingerprint").agg(F.min(id_col).alias("low"))
     reps = materialize(each.withColumn("id", F.monotonically_increasing_id()))
     bands = _coordinates()

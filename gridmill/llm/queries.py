@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, lmscore, mixing, neardup, packing, pii, tokenstore, toxicity, veclinks, warc
-from .common import crc_mod, materialize, scratch, small_batches, table
+from .common import crc_mod, materialize, small_batches, table
 
 
 def _joined(spans: str):
@@ -69,10 +69,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         if held and (x := done(held)) is not None:
             yield x
 
-    with scratch(spark) as keep:
-        prints = materialize(rows.select("part", "ghost", "id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
-        classes = fingerprint.near_classes(prints.select(F.col("doc_id").alias("id"), "fingerprint"))
-        return keep(prints.join(classes, "fingerprint").select(*names, "near_class"))
+    prints = materialize(rows.select("part", "ghost", "id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
+    classes = fingerprint.near_classes(prints.select(F.col("doc_id").alias("id"), "fingerprint"))
+    return prints.join(classes, "fingerprint").select(*names, "near_class")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
