@@ -169,8 +169,11 @@ def european_sign(raw: Column) -> Column:
 def header_unit_scale(header: Column) -> Column:
     """struct(unit, scale) of a header such as 'Revenue (INR crore)'."""
     h = F.coalesce(header, F.lit(""))
-    closed = h.rlike(r"[（(\[][^)\]）]*[）)\]]\s*$")
-    inside = F.lower(F.trim(F.regexp_extract(h, r"[（(\[]([^)\]）]*)[）)\]]\s*$", 1)))
+    # All kinds of brackets as round ones; the last pair must close the header.
+    even = F.rtrim(F.translate(h, "\uff08[\uff09]", "(())"))
+    tail = F.substring_index(F.left(even, F.length(even) - 1), "(", -1)
+    closed = F.endswith(even, F.lit(")")) & F.contains(even, F.lit("(")) & ~F.contains(tail, F.lit(")"))
+    inside = F.lower(F.trim(tail))
 
     def word(t: str) -> Column:
         return inside.rlike(rf"(^|[^\p{{L}}\p{{N}}_])\Q{t}\E([^\p{{L}}\p{{N}}_]|$)") if t[-1].isalpha() else inside.rlike(rf"(^|[^\p{{L}}\p{{N}}_])\Q{t}\E[\p{{L}}\p{{N}}_]") if t[0].isalpha() else F.contains(inside, F.lit(t))

@@ -92,7 +92,10 @@ def test_kinds():
 def test_prose():
     r = [{"result": 6907, "unit": "INR", "parsed_cells": 28, "total_cells": 40}]
     s = shape.aggregate_sentence(r, {"agg": "SUM", "column_key": "2023", "row_filter": "x"})
-    assert s.startswith("The total of the '2023' column for rows matching 'x' is 6,907 INR.") and "28 of 40" in s
+    assert s == "Sum of 2023, rows like x: 6,907 INR. Read from 28 of 40 cells, the others hold no number."
+    assert shape.aggregate_sentence([{"result": None}]) == "Result: none, since no cell there holds a number." and shape.aggregate_sentence([{"a": 1}]) is None
+    assert shape.aggregate_sentence([{"result": 5, "unit": "%", "parsed_cells": 4, "total_cells": 4}]) == "Result: 5%."
+    assert shape.result_text(["label", "value"], [{"label": "a", "value": 1}], 3, {"column_key": "k"}) == "3 rows, the first 1:\nRow\tk\na\t1"
     assert shape.display_columns(["label", "y_2022", "value"], {"column_keys": ["2022"], "column_key": "k"}) == ["Row", "2022", "k"]
 
 
