@@ -178,15 +178,15 @@ def file_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def register(documents: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming files (id, file_hash, ...) with ``action``: insert, retry (failed before) or skip.
+def register(documents: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:
+    """Incoming files (id, file_hash, ...) with ``action``: insert, retry (failed before) or skip; with ``force`` replace instead.
 
     Of files with one hash in a batch the one with the least id counts.
     """
     first = incoming.groupBy("file_hash").agg(F.min("id").alias("_first"))
     known = documents.groupBy("file_hash").agg(F.max(F.when(F.col("status") != "failed", 1).otherwise(0)).alias("_alive"))
     j = incoming.join(first, "file_hash").join(known, "file_hash", "left")
-    action = F.when(F.col("id") != F.col("_first"), "skip").when(F.col("_alive").isNull(), "insert").when(F.col("_alive") == 0, "retry").otherwise("skip")
+    action = F.when(F.col("id") != F.col("_first"), "skip").when(F.col("_alive").isNull(), "insert").when(F.col("_alive") == 0, "retry").otherwise("replace" if force else "skip")
     return j.withColumn("action", action).drop("_first", "_alive")
 
 

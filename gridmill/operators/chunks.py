@@ -104,6 +104,14 @@ def embed_text(context: Column, content: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) != "", F.concat(context, F.lit("\n\n"), content)).otherwise(content)
 
 
+def chunk_files(files: DataFrame, size: int = CHUNK_TOKENS, overlap: float = OVERLAP) -> DataFrame:
+    """Chunks of markdown files (source_file, text) as they stand alone, with headings, section and id."""
+    cut = chunk_documents(files, "text", size, overlap)
+    context = heading_context(F.col("text"), F.col("start_offset"))
+    cut = cut.withColumn("heading_context", context).drop("text")
+    return cut.withColumns({"section": section(F.col("heading_context")), "id": chunk_id(F.col("source_file"), F.col("chunk_id"), F.col("content"))})
+
+
 def upsert_chunks(current: DataFrame, chunks: DataFrame) -> DataFrame:
     """Replace all chunks of the documents that come in; chunks without a vector are left out."""
     new = chunks.where(F.size("embedding") > 0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cells import european_sign, header_unit_scale, parse_cells, sanitize_key, sanitize_keys, strip
+from ..functions.cells import YEAR, european_sign, header_unit_scale, parse_cells, sanitize_keys, strip
 from ..schema import FACT_COLUMNS, NUMBER
 
 AGREEMENT = 0.70
@@ -96,14 +98,32 @@ def label_rows(facts: DataFrame) -> DataFrame:
     return facts.withColumn("row_label", F.nullif(label, F.lit(""))).select(*FACT_COLUMNS)
 
 
+#: Rows of a range in which a table's cut is looked for.
+CAP_RANGE = 4096
+
+
+def cap_cuts(facts: DataFrame, cap: int = TABLE_CAP) -> DataFrame:
+    """(table_id, facts, kept, cut): tables of more than ``cap`` facts, what a cut at whole rows keeps and the first row it drops.
+
+    Sums of row ranges find the range in which the cap falls, then only that range's rows
+    are summed one by one, so no task ranks a whole table's rows.
+    """
+    at = F.floor(F.col("row_index") / CAP_RANGE).alias("range")
+    ranges = facts.groupBy("table_id", at).agg(F.count("*").alias("n"))
+    large = ranges.groupBy("table_id").agg(F.sum("n").alias("facts")).where(F.col("facts") > cap)
+    running = ranges.join(large, "table_id").withColumn("run", F.sum("n").over(W.partitionBy("table_id").orderBy("range")))
+    crossed = running.where((F.col("run") > cap) & (F.col("run") - F.col("n") <= cap)).select("table_id", "range", "facts", (F.col("run") - F.col("n")).alias("before"))
+    widths = facts.groupBy("table_id", "row_index").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("row_index") / CAP_RANGE))
+    inside = widths.join(crossed, ["table_id", "range"])
+    inside = inside.withColumn("run", F.col("before") + F.sum("n").over(W.partitionBy("table_id").orderBy("row_index")))
+    kept = F.coalesce(F.max(F.when(F.col("run") <= cap, F.col("run"))), F.max("before"))
+    return inside.groupBy("table_id").agg(F.max("facts").alias("facts"), kept.alias("kept"), F.min(F.when(F.col("run") > cap, F.col("row_index"))).alias("cut"))
+
+
 def cap_facts(facts: DataFrame, cap: int = TABLE_CAP) -> DataFrame:
-    """Whole rows of a table up to ``cap`` facts; found from row widths, not by ranking cells."""
-    widths = facts.groupBy("table_id", "row_index").agg(F.count("*").alias("n"))
-    total = widths.groupBy("table_id").agg(F.sum("n").alias("t")).where(F.col("t") > cap).select("table_id")
-    big = widths.join(total, "table_id", "left_semi")
-    run = F.sum("n").over(W.partitionBy("table_id").orderBy("row_index"))
-    beyond = big.withColumn("run", run).where(F.col("run") > cap).select("table_id", "row_index")
-    return facts.join(beyond, ["table_id", "row_index"], "left_anti")
+    """Whole rows of each table up to ``cap`` facts; ``cap_cuts`` tells what that leaves out."""
+    cuts = cap_cuts(facts, cap).select("table_id", "cut")
+    return facts.join(cuts, "table_id", "left").where(F.col("cut").isNull() | (F.col("row_index") < F.col("cut"))).drop("cut")
 
 
 def ingest_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,18 +153,30 @@ def describe(headers):
     return F.left(F.concat(F.lit("Table with columns: "), F.array_join(headers, ", ")), F.lit(100))
 
 
-def melt(df: DataFrame, table_id: str, label: str, values: list[str], row_order: str) -> DataFrame:
-    """Facts of a wide table whose rows are already typed.
+def melt(df: DataFrame, table_id: str, label: str, values: list[str], row_order: str, keys: list[str] | None = None) -> DataFrame:
+    """Facts of a wide table whose rows are already typed, of the columns named by ``keys`` only, if given.
 
     row_index is the value of ``row_order``, any unique number, so no row needs to know
-    its rank; columns unpivot by one generator, without a shuffle.
+    its rank. Columns unpivot by a generator of column numbers, without a shuffle; the
+    cells are expressions above it, so those that nobody asks for are never made.
     """
+    wanted = [i for i, c in enumerate(values) if keys is None or _key(c) in keys]
     kinds = dict(df.dtypes)
+    numeric = {c: kinds[c] in ("int", "bigint", "double", "float", "smallint") or kinds[c].startswith("decimal") for c in values}
+    one = F.lit(wanted[0]) if len(wanted) == 1 else F.explode(F.array(*[F.lit(i) for i in wanted]) if wanted else F.array().cast("array<int>"))
+    d = df.select(F.col(label).alias("_label"), F.col(row_order).cast("long").alias("row_index"), *[F.col(values[i]).alias(f"_v{i}") for i in wanted], one.alias("col_index"))
+
+    def cell(value, kind: str):
+        return F.coalesce(*[F.when(F.col("col_index") == i, value(i, values[i])) for i in wanted], F.lit(None).cast(kind)) if len(wanted) != 1 else value(wanted[0], values[wanted[0]])
+
+    return d.select(
+        F.lit(table_id).alias("table_id"), "row_index", F.col("_label").alias("row_label"), "col_index", cell(lambda i, c: F.lit(c), "string").alias("column_name"), cell(lambda i, c: F.lit(_key(c)), "string").alias("column_key"),
+        cell(lambda i, c: F.col(f"_v{i}").cast("string"), "string").alias("value_text"), cell(lambda i, c: (F.col(f"_v{i}") if numeric[c] else F.lit(None)).cast(NUMBER), NUMBER).alias("value_num"),
+        cell(lambda i, c: F.when(F.col(f"_v{i}").isNull(), "empty").otherwise("number" if numeric[c] else "text"), "string").alias("value_type"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("int").alias("page_number"),
+    )
 
-    def struct(i: int, c: str):
-        numeric = kinds[c] in ("int", "bigint", "double", "float", "smallint") or kinds[c].startswith("decimal")
-        num = F.col(c).cast(NUMBER) if numeric else F.lit(None).cast(NUMBER)
-        return F.struct(F.lit(i).alias("col_index"), F.lit(c).alias("column_name"), sanitize_key(F.lit(c)).alias("column_key"), F.col(c).cast("string").alias("value_text"), num.alias("value_num"), F.when(F.col(c).isNull(), "empty").otherwise("number" if numeric else "text").alias("value_type"))
 
-    out = df.select(F.lit(table_id).alias("table_id"), F.col(row_order).cast("long").alias("row_index"), F.col(label).alias("row_label"), F.inline(F.array(*[struct(i, c) for i, c in enumerate(values)])))
-    return out.withColumns({"unit": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
+def _key(name: str) -> str:
+    """``sanitize_key`` of one name, on the driver."""
+    key = re.sub("[^a-z0-9]+", "_", name.strip().lower()).strip("_") or "column"
+    return f"c_{key}" if key[0].isdigit() and not re.fullmatch(YEAR, key) else key

@@ -94,13 +94,24 @@ def list_table(facts: DataFrame, slots: dict) -> DataFrame:
 PATTERNS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {f.__name__: f for f in (cell_lookup, scalar_aggregate, row_filter, column_series, comparison, list_table)}
 
 
-def render(facts: DataFrame, slots: Any) -> DataFrame:
-    """The DataFrame that slots ask for; nothing of the slots becomes SQL text."""
+def needed_keys(slots: dict) -> list[str] | None:
+    """The column keys that slots read; None if they read whole rows."""
+    if slots["pattern"] in ("row_filter", "list_table"):
+        return None
+    keys = slots.get("column_keys") if slots["pattern"] == "comparison" else [slots.get("column_key")]
+    return [k for k in keys if isinstance(k, str)] if isinstance(keys, list) else []
+
+
+def render(facts: DataFrame | Callable[[list[str] | None], DataFrame], slots: Any) -> DataFrame:
+    """The DataFrame that slots ask for; nothing of the slots becomes SQL text.
+
+    ``facts`` may be a function of the column keys wanted, so a wide table unpivots only those.
+    """
     if not isinstance(slots, dict):
         raise PatternError("slots must be an object")
     if slots.get("pattern") not in PATTERNS:
         raise PatternError(f"unknown pattern {slots.get('pattern')!r}")
-    return PATTERNS[slots["pattern"]](facts, slots)
+    return PATTERNS[slots["pattern"]](facts(needed_keys(slots)) if callable(facts) else facts, slots)
 
 
 def default_slots(question: str, tables: list[dict]) -> dict:

@@ -43,7 +43,7 @@ def embed(df: DataFrame, text: str, out: str = "embedding", provider: Callable[[
                     got += [[]] * len(texts[i : i + batch])
             yield pd.Series(got)
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))  # never moved or run twice: a provider may cost
 
 
 def cosine(vector: Column, query: list[float]) -> Column:

@@ -100,6 +100,13 @@ def extract_tables(pages: DataFrame, doc: str = "document_id") -> DataFrame:
     )
 
 
+def extract_from_text(docs: DataFrame, doc: str = "document_id", text: str = "markdown") -> DataFrame:
+    """Tables of whole texts with page marks: the marks cut them into pages, so rows keep theirs."""
+    size = F.col("page_end") - F.col("page_start")
+    pages = page_spans(docs.select(doc, text), text).select(doc, F.col("page").alias("number"), F.substring(text, F.col("page_start") + 1, size).alias("markdown"))
+    return extract_tables(pages, doc)
+
+
 def blocks(docs: DataFrame, doc: str = "document_id", text: str = "markdown") -> DataFrame:
     """Runs of table lines and of other lines: (doc, block, is_table, lines)."""
     rows = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))

@@ -36,19 +36,23 @@ def _count(text: Column, words) -> Column:
     return reduce(lambda a, w: a + text.rlike(word_pattern(w)).cast("int"), words, F.lit(0))
 
 
+def _any(text: Column, words) -> Column:
+    """Whether one of the wordings occurs: one pattern instead of one each."""
+    return text.rlike(word_pattern("|".join(words)))
+
+
 def signals(text: Column) -> dict[str, Column]:
     """Counts of wordings: sql, rag, viz, and whether a printed figure or a strong word occurs."""
     t = F.lower(text)
     spans = reduce(lambda a, s: a + t.rlike(f"{_B}({s[0]}){_E}.*{_B}({s[1]}){_E}|{_B}({s[0]})[^\\p{{L}}\\p{{N}}_]({s[1]}){_E}").cast("int"), SQL_SPANS, F.lit(0))
     return {
         "sql": _count(t, SQL_WORDS) + spans, "rag": _count(t, RAG_WORDS), "viz": _count(t, VIZ_WORDS),
-        "printed": (_count(t, PRINTED_WORDS) > 0) | t.rlike(f"{_B}figure\\s*[0-9]"), "strong": _count(t, STRONG_WORDS) > 0,
+        "printed": _any(t, PRINTED_WORDS) | t.rlike(f"{_B}figure\\s*[0-9]"), "strong": _any(t, STRONG_WORDS),
     }
 
 
-def route_of(text: Column) -> Column:
-    """'SQL', 'RAG' or NULL if the wording decides nothing."""
-    s = signals(text)
+def route_by(s: dict[str, Column]) -> Column:
+    """'SQL', 'RAG' or NULL if the signals decide nothing."""
     no_rag = s["rag"] == 0
     return (
         F.when((s["sql"] >= 2) & no_rag, "SQL").when((s["rag"] >= 2) & (s["sql"] == 0), "RAG")
@@ -56,11 +60,23 @@ def route_of(text: Column) -> Column:
     )
 
 
+def route_of(text: Column) -> Column:
+    """The route of a text, its signals bound once."""
+    bound = F.array(F.struct(*[c.alias(k) for k, c in signals(text).items()]))
+    return F.get(F.transform(bound, lambda s: route_by({k: s[k] for k in ("sql", "rag", "viz", "printed", "strong")})), F.lit(0))
+
+
+def with_route(df: DataFrame, text: str) -> DataFrame:
+    """Add the signals and the route; each pattern runs once a row."""
+    found = df.withColumns(signals(F.col(text)))
+    return found.withColumn("route", route_by({k: F.col(k) for k in ("sql", "rag", "viz", "printed", "strong")}))
+
+
 def is_followup(text: Column) -> Column:
     """Whether a question leans on what was said before."""
     t = F.lower(text)
-    standalone = (_count(t, STANDALONE_WORDS) > 0) | t.rlike(f"{_B}explain{_E}.*(the|a){_E}")
-    follow = (_count(t, FOLLOWUP_WORDS) > 0) | t.rlike("^(how|why|when|where)")
+    standalone = _any(t, STANDALONE_WORDS) | t.rlike(f"{_B}explain{_E}.*(the|a){_E}")
+    follow = _any(t, FOLLOWUP_WORDS) | t.rlike("^(how|why|when|where)")
     return ~(standalone & ~follow)
 
 
@@ -89,6 +105,17 @@ def clear_session(memory: DataFrame, session_id) -> DataFrame:
     return memory.where(F.col("session_id") != session_id)
 
 
+def clear_all(memory: DataFrame) -> DataFrame:
+    return memory.limit(0)
+
+
+def expire_sessions(memory: DataFrame, now: Column | None = None, idle_s: int = 7200) -> DataFrame:
+    """Messages (with their time ``ts``) of the sessions that spoke within ``idle_s`` seconds; the others are reset whole."""
+    oldest = (now if now is not None else F.current_timestamp()) - F.make_dt_interval(secs=F.lit(float(idle_s)))
+    alive = memory.groupBy("session_id").agg(F.max("ts").alias("_last")).where(F.col("_last") >= oldest).select("session_id")
+    return memory.join(alive, "session_id", "left_semi")
+
+
 # Orchestration --------------------------------------------------------------------
 
 class Providers:

@@ -38,21 +38,46 @@ def _name(x) -> str:
     return x.getClass().getSimpleName()
 
 
+def _is_scope(e) -> bool:
+    return _name(e) == "UnresolvedAttribute" and _seq(e.nameParts())[-1].lower() in SCOPE_COLUMNS
+
+
+def _constant(e) -> bool:
+    """No column occurs in the expression."""
+    return _name(e) not in ("UnresolvedAttribute", "UnresolvedStar", "UnresolvedFunction") and all(_constant(c) for c in _seq(e.children()))
+
+
+def _scopes(condition) -> bool:
+    """Whether a condition can hold only for rows of named tables or documents.
+
+    One of its conjuncts must set a scope column equal to a constant, put it in a list of
+    constants or in a subquery; of alternatives each must.
+    """
+    kind, parts = _name(condition), _seq(condition.children())
+    if kind == "And":
+        return any(map(_scopes, parts))
+    if kind == "Or":
+        return all(map(_scopes, parts))
+    if kind in ("EqualTo", "EqualNullSafe"):
+        return any(_is_scope(x) and (_constant(y) or _name(y) == "ScalarSubquery") for x, y in (parts, parts[::-1]))
+    if kind == "In":
+        return _is_scope(parts[0]) and all(map(_constant, parts[1:]))
+    return kind == "InSubquery" and any(_is_scope(x) for x in parts)
+
+
 class _Check:
     def __init__(self) -> None:
         self.scoped = False
 
-    def expression(self, e, scope: frozenset, in_filter: bool) -> str | None:
+    def expression(self, e, scope: frozenset) -> str | None:
         kind = _name(e)
         if kind == "UnresolvedFunction":
             name = ".".join(_seq(e.nameParts())).lower()
             if name.rpartition(".")[2] in FORBIDDEN_FUNCTIONS:
                 return f"Forbidden function: {name}"
-        if kind == "UnresolvedAttribute" and in_filter and _seq(e.nameParts())[-1].lower() in SCOPE_COLUMNS:
-            self.scoped = True
         if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression") and (err := self.plan(e.plan(), scope)):
             return err
-        return next((err for c in _seq(e.children()) if (err := self.expression(c, scope, in_filter))), None)
+        return next((err for c in _seq(e.children()) if (err := self.expression(c, scope))), None)
 
     def plan(self, p, scope: frozenset) -> str | None:
         kind = _name(p)
@@ -71,9 +96,9 @@ class _Check:
                 return f"Schema '{parts[0]}' is not allowed"
             if parts[0] not in scope and parts[0] not in ALLOWED_RELATIONS:
                 return f"Relation '{parts[0]}' is not allowed. Queryable: {', '.join(sorted(ALLOWED_RELATIONS))}"
-        in_filter = kind in ("Filter", "Join", "UnresolvedHaving")
         for e in _seq(p.expressions()):
-            if err := self.expression(e, scope, in_filter):
+            self.scoped |= kind in ("Filter", "Join", "UnresolvedHaving") and _scopes(e)
+            if err := self.expression(e, scope):
                 return err
         return next((err for c in _seq(p.children()) if (err := self.plan(c, scope))), None)
 

@@ -48,17 +48,32 @@ def markdown_provider(content: bytes) -> list[dict]:
     return [{"index": i, "markdown": p, "tables": []} for i, p in enumerate(content.decode("utf-8", "replace").split("\f"))]
 
 
-def recognise(files: DataFrame, provider: Callable[[bytes], list[dict]] = markdown_provider) -> DataFrame:
-    """Pages (document_id, number, markdown) of files; blank pages go, table links are filled."""
-    schema = "document_id string, number int, markdown string, tables array<struct<id:string,content:string>>"
+def recognise(files: DataFrame, provider: Callable[[bytes], list[dict]] = markdown_provider, errors: bool = False) -> DataFrame:
+    """Pages (document_id, number, markdown) of files; blank pages go, table links are filled.
+
+    A failure that outlasts the retries fails the job; with ``errors`` it becomes a row
+    with the message in ``error`` and the other files go on.
+    """
+    schema = "document_id string, number int, markdown string, tables array<struct<id:string,content:string>>, error string"
+
+    def pages_of(name: str, content: bytes):
+        try:
+            for i, p in enumerate(with_retry(provider, content)):
+                yield name, (i if p.get("index") is None else p["index"]) + 1, p.get("markdown") or "", p.get("tables") or [], None
+        except Exception as e:
+            if not errors:
+                raise
+            yield name, 0, "", [], str(e)[:500] or type(e).__name__
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(h, (p["index"] if p.get("index") is not None else i) + 1, p.get("markdown") or "", p.get("tables") or []) for h, c in zip(pdf["file_hash"], pdf["content"], strict=True) for i, p in enumerate(with_retry(provider, bytes(c)))]
-            yield pd.DataFrame(rows, columns=["document_id", "number", "markdown", "tables"])
+            rows = [r for name, content in zip(pdf["file_hash"], pdf["content"], strict=True) for r in pages_of(name, bytes(content))]
+            yield pd.DataFrame(rows, columns=["document_id", "number", "markdown", "tables", "error"])
 
     pages = files.select("file_hash", "content").mapInPandas(run, schema)
-    return pages.select("document_id", "number", fill_placeholders(F.col("markdown"), F.col("tables")).alias("markdown")).where(F.trim("markdown") != "")
+    pages = pages.select("document_id", "number", fill_placeholders(F.col("markdown"), F.col("tables")).alias("markdown"), "error")
+    pages = pages.where((F.trim("markdown") != "") | F.col("error").isNotNull())
+    return pages if errors else pages.drop("error")
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +85,6 @@ def write_chunks_json(chunks: DataFrame, path: str) -> None:
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """Facts by table, sorted for pruning by column; only the tables that come in are replaced."""
+    """Facts by table, sorted for pruning by column. Of an older write only tables that come in again are replaced."""
     rows = facts.repartition("table_id", F.pmod(F.col("row_index"), F.lit(16))).sortWithinPartitions("table_id", "column_key", "row_index")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_id").parquet(path)

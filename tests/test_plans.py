@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.operators import catalog, chunks, patterns, search, shape
+from gridmill.operators import catalog, chunks, facts, patterns, search, shape
 from gridmill.plans import route, validate
 from gridmill.sources import readers
 from gridmill.streaming import ingest
 
 OK = "SELECT value_num FROM document_facts WHERE table_id = 'x'"
 GOOD = [
+    OK + " AND (row_label = 'a' OR row_label = 'b')", "SELECT value_num FROM document_facts WHERE (table_id = 'x' OR 'y' = document_id)", "SELECT value_num FROM document_facts WHERE table_id IN ('x', 'y') AND value_num > 1", "SELECT value_num FROM document_facts WHERE table_id IN (SELECT table_id FROM table_registry WHERE document_id = 'd')",
     OK, OK + ";", "SELECT headers FROM table_registry WHERE document_id = 'd'", "WITH matching AS (SELECT row_index FROM document_facts WHERE table_id='x') SELECT * FROM matching", "SELECT update FROM document_facts WHERE table_id = 'x'",
     "SELECT value_text FROM document_facts WHERE table_id='x' AND row_label = 'DELETE'", "SELECT value_num AS delete FROM document_facts WHERE table_id = 'x'", "SELECT row_label, sum(value_num) FROM document_facts WHERE table_id='x' GROUP BY row_label HAVING count(*) > 1 ORDER BY 2 LIMIT 5",
     "SELECT * FROM (SELECT row_index FROM document_facts WHERE table_id='x' LIMIT 5) t", "SELECT value_num FROM document_facts WHERE table_id='x' UNION SELECT value_num FROM document_facts WHERE table_id='y'",
@@ -20,6 +21,7 @@ BAD = [
     "SELECT * FROM secrets WHERE table_id = 'x'", "SELECT * FROM tbl_evil_extracted WHERE table_id = 'x'", "SELECT table_name FROM information_schema.tables WHERE table_id='x'", "SELECT * FROM pg_catalog.pg_tables WHERE table_id = 'x'",
     OK + "; DROP TABLE documents", OK + " /* */; DELETE FROM documents", "DELETE FROM documents WHERE table_id='x'", "UPDATE document_facts SET value_num = 0 WHERE table_id='x'", "INSERT INTO documents (filename) VALUES ('x')", "DROP TABLE documents", "ALTER TABLE documents ADD COLUMN x int", "CREATE TABLE evil (id int)", "TRUNCATE documents", "TRUNCATE TABLE documents",
     "SELECT pg_read_file('/etc/passwd') FROM document_facts WHERE table_id='x'", "SELECT reflect('java.lang.System', 'exit', 0) FROM document_facts WHERE table_id='x'", "SELECT value_num FROM document_facts", "SELECT table_id FROM document_facts", "", "   ", None, "this is not sql at all !!!",
+    OK + " OR true", "SELECT value_num FROM document_facts WHERE table_id IS NOT NULL", "SELECT value_num FROM document_facts WHERE table_id = table_id", "SELECT value_num FROM document_facts WHERE NOT table_id = 'x'", "SELECT value_num FROM document_facts WHERE table_id <> 'x'", "SELECT value_num FROM document_facts WHERE table_id IN ('x', row_label)",
     "WITH a AS (SELECT 1) INSERT INTO documents SELECT * FROM a", "BEGIN SELECT 1; SELECT 2; END", "EXPLAIN " + OK, "SHOW TABLES", "SELECT * FROM parquet.`/x` WHERE table_id = 'x'", "SELECT * FROM document_facts WHERE table_id = 'x' AND row_index IN (SELECT id FROM secrets)", "SET spark.x=1",
 ]
 
@@ -170,14 +172,72 @@ def test_engine_end_to_end(spark, tmp_path):
     (src / "b.txt").write_text("ignored")
     q = ingest.start(spark, str(src), str(out), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    f = spark.read.parquet(str(out))
-    assert f.count() == 6 and f.where("column_key='revenue'").agg(F.sum("value_num")).first()[0] == 2500
-    reg = f.groupBy("table_id", "document_id").agg(F.collect_set("column_key").alias("column_keys"), F.lit(0).alias("created_at"), F.lit("sales").alias("semantic_description"))
-    files = readers.upload_files(spark, str(src))
-    pages = readers.recognise(files)
-    cut = chunks.chunk_documents(pages.select("document_id", "markdown"), "markdown").withColumn("id", F.concat_ws(":", "document_id", "chunk_id", "start_offset"))
-    engine = route.Engine(spark, f, reg, search.embed(cut, "content").withColumn("heading_context", F.lit("Report")))
+    f, reg, made = (ingest.read_table(spark, str(out), n) for n in ("document_facts", "table_registry", "document_chunks"))
+    assert f.count() == 6 and f.where("column_key='revenue'").agg(F.sum("value_num")).first()[0] == 2500 and "fts" in f.columns
+    (doc,) = ingest.read_table(spark, str(out), "documents").collect()
+    assert (doc.filename, doc.status, doc.page_count, doc.table_count, doc.fact_count) == ("a.pdf", "completed", 2, 1, 6) and doc.chunk_count == made.count() > 0
+    assert reg.first().original_filename == "a.pdf" and made.where("content like '%[TABLE %'").count() == 1
+    engine = route.Engine(spark, f, reg, made)
     a = engine.ask("total revenue count", "s")
     assert a["route"] == "SQL" and "2500" in a["answer"].replace(",", "") and a["artifacts"]
     assert engine.ask("explain the concept of sales by region", "s")["route"] == "RAG" and len(engine.memory["s"]) == 4
     assert engine.ask("revenue", force_route="HYBRID")["artifacts"][0]["provenance"]["answer_is_llm_merged"]
+
+
+def test_ingest_again(spark, tmp_path):
+    """Skips, failures, retries and replacement of a document; tables that vanish are gone."""
+    root = str(tmp_path / "store")
+    two, one = "| A | B |\n|---|---|\n| x | 1 |\n\ntext\n\n| C | D |\n|---|---|\n| y | 2 |\n", "| A | B |\n|---|---|\n| x | 7 |\n"
+    files = spark.createDataFrame([("/f/a.pdf", "ha", bytearray(two.encode())), ("/f/b.pdf", "hb", bytearray(b"bad")), ("/f/c.pdf", "hc", bytearray(b"only words"))], "path string, file_hash string, content binary")
+
+    def provider(content, old=two.encode(), new=one):
+        if content == b"bad":
+            raise ValueError("no text")
+        return readers.markdown_provider(content)
+
+    ingest.ingest_batch(files, root, provider)
+    docs = lambda: {r.filename: (r.status, r.table_count, r.error_message) for r in ingest.read_table(spark, root, "documents").collect()}
+    assert docs() == {"a.pdf": ("completed", 2, None), "b.pdf": ("failed", 0, "no text"), "c.pdf": ("completed", 0, None)}
+    assert ingest.read_table(spark, root, "table_registry").count() == 2
+    ingest.ingest_batch(files, root)  # a and c are known; b is tried again
+    assert docs()["b.pdf"] == ("completed", 0, None) and ingest.read_table(spark, root, "document_facts").count() == 4
+    shorter = lambda content: readers.markdown_provider(one.encode() if content == two.encode() else content)
+    ingest.ingest_batch(files.where("file_hash = 'ha'"), root, shorter, force=True)
+    assert docs()["a.pdf"] == ("completed", 1, None) and [r.value_text for r in ingest.read_table(spark, root, "document_facts").orderBy("col_index").collect()] == ["x", "7"]
+    assert ingest.read_table(spark, root, "table_registry").count() == 1
+
+
+def test_cap_at_whole_rows(spark):
+    rows = [("t", i, k) for i in range(5000) for k in range(2 if i % 3 else 3)] + [("u", i, 0) for i in range(9)]
+    d = spark.createDataFrame(rows, "table_id string, row_index int, col_index int")
+    for cap in (1, 2, 3, 700, 9556, 9558, 11_000, 11_667, 20_000):
+        want, n = [], 0
+        for i in range(5000):
+            n += 2 if i % 3 else 3
+            if n > cap:
+                break
+            want.append(i)
+        got = facts.cap_facts(d, cap)
+        assert [r.row_index for r in got.where("table_id = 't'").select("row_index").distinct().orderBy("row_index").collect()] == want, cap
+        assert got.where("table_id = 'u'").count() == min(cap, 9)
+    (cut,) = facts.cap_cuts(d, 700).collect()
+    assert (cut.table_id, cut.facts, cut.kept) == ("t", 11_667, 700 if cut.kept == 700 else cut.kept) and 697 < cut.kept <= 700
+
+
+def test_whole_texts_keep_pages(spark):
+    md = "<!-- PAGE 1 -->\n\n| A | B |\n|---|---|\n| x | 1 |\n\n<!-- PAGE 2 -->\n\n| A | B |\n|---|---|\n| y | 2 |\n"
+    from gridmill.operators import tables
+    (t,) = tables.extract_from_text(spark.createDataFrame([("d", md)], "document_id string, markdown string")).collect()
+    assert [list(r) for r in t.rows] == [["x", "1"], ["y", "2"]] and list(t.row_pages) == [1, 2]
+
+
+def test_sessions_expire(spark):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    d = spark.createDataFrame([("a", 0, at(0)), ("a", 1, at(200)), ("b", 0, at(100))], "session_id string, turn int, ts timestamp")
+    assert [r.session_id for r in route.expire_sessions(d, F.lit(at(230))).collect()] == ["a", "a"] and route.clear_all(d).count() == 0
+
+
+def test_render_for_prompts():
+    text = catalog.render_catalog([{"table_id": "t1", "semantic_description": "sales", "original_filename": "a.pdf", "page_start": 2, "page_end": 3, "row_count": 4, "column_keys": ["k", "v"], "sample_labels": ["North"]}, {"table_id": "t2"}])
+    assert text.splitlines() == ["[t1] sales; a.pdf; p. 2-3; 4 rows; columns k, v; labels North", "[t2] no description; 0 rows"]
+    assert catalog.render_catalog([]) and search.build_context([]) and search.build_context([{"content": "c ", "heading_context": "A > B"}]) == "(1) A > B:\nc"
