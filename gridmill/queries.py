@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.cells import header_unit_scale, parse_cells, sanitize_key, sanitize_keys
 from .operators import catalog, chunks, facts, patterns, search, shape, tables
 from .plans import route, validate
+from .streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,13 +34,13 @@ def query(sql: str | None = None):
 
 # Facts of wide tables -------------------------------------------------------------
 
-def customer_facts(spark, sf) -> DataFrame:
-    return facts.melt(_t(spark, sf, "customer"), "customer", "c_name", ["c_nationkey", "c_acctbal", "c_mktsegment"], "c_custkey")
+def customer_facts(spark, sf, keys=None) -> DataFrame:
+    return facts.melt(_t(spark, sf, "customer"), "customer", "c_name", ["c_nationkey", "c_acctbal", "c_mktsegment"], "c_custkey", keys)
 
 
-def lineitem_facts(spark, sf) -> DataFrame:
+def lineitem_facts(spark, sf, keys=None) -> DataFrame:
     d = _t(spark, sf, "lineitem").withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    return facts.melt(d, "lineitem", "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "row")
+    return facts.melt(d, "lineitem", "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "row", keys)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -45,13 +49,13 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("SELECT c_name AS row_label, 'c_acctbal' AS column_name, round(c_acctbal, 2) AS value_num, CAST(NULL AS VARCHAR) AS unit FROM customer WHERE c_name ILIKE '%000000012%' ORDER BY c_custkey LIMIT 25")
 def cell_lookup(spark, sf):
-    d = patterns.render(customer_facts(spark, sf), {"pattern": "cell_lookup", "table_id": "customer", "column_key": "c_acctbal", "row_filter": "000000012"})
+    d = patterns.render(partial(customer_facts, spark, sf), {"pattern": "cell_lookup", "table_id": "customer", "column_key": "c_acctbal", "row_filter": "000000012"})
     return _rounded(d.select("row_label", "column_name", "value_num", "unit"), "value_num")
 
 
 def _aggregate(agg: str, column: str, table: str):
     def run(spark, sf):
-        f = lineitem_facts(spark, sf) if table == "lineitem" else customer_facts(spark, sf)
+        f = partial(lineitem_facts if table == "lineitem" else customer_facts, spark, sf)
         return _rounded(patterns.render(f, {"pattern": "scalar_aggregate", "table_id": table, "agg": agg, "column_key": column}), "result")
 
     return run
@@ -66,7 +70,7 @@ for _agg, _col, _table in (("SUM", "l_extendedprice", "lineitem"), ("AVG", "l_qu
 
 @query("SELECT round(sum(c_acctbal), 2) AS result, CAST(NULL AS VARCHAR) AS unit, count(c_acctbal) AS parsed_cells, count(*) AS total_cells FROM customer WHERE c_name ILIKE '%9%'")
 def scalar_aggregate_filtered(spark, sf):
-    return _rounded(patterns.render(customer_facts(spark, sf), {"pattern": "scalar_aggregate", "table_id": "customer", "agg": "SUM", "column_key": "c_acctbal", "row_filter": "9"}), "result")
+    return _rounded(patterns.render(partial(customer_facts, spark, sf), {"pattern": "scalar_aggregate", "table_id": "customer", "agg": "SUM", "column_key": "c_acctbal", "row_filter": "9"}), "result")
 
 
 @query("SELECT round(sum(o_totalprice), 2) AS result, CAST(NULL AS VARCHAR) AS unit, count(*) AS parsed_cells, count(*) AS total_cells FROM orders WHERE NOT (o_totalprice = floor(o_totalprice) AND o_totalprice BETWEEN 1900 AND 2099)")
@@ -77,7 +81,7 @@ def scalar_year_exclusion(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT p_partkey FROM part WHERE p_name ILIKE '%green%' ORDER BY p_partkey LIMIT 500)
+WITH m AS (SELECT p_partkey FROM part WHERE p_name ILIKE '%widget%' ORDER BY p_partkey LIMIT 500)
 SELECT CAST(p_partkey AS BIGINT) AS row_index, col_index, column_key, round(value_num, 2) AS value_num FROM (
   SELECT p_partkey, 0 AS col_index, 'p_brand' AS column_key, CAST(NULL AS DOUBLE) AS value_num FROM part
   UNION ALL SELECT p_partkey, 1, 'p_size', CAST(p_size AS DOUBLE) FROM part
@@ -85,13 +89,13 @@ SELECT CAST(p_partkey AS BIGINT) AS row_index, col_index, column_key, round(valu
 WHERE p_partkey IN (SELECT p_partkey FROM m)""")
 def row_filter(spark, sf):
     f = facts.melt(_t(spark, sf, "part"), "part", "p_name", ["p_brand", "p_size", "p_retailprice"], "p_partkey")
-    d = patterns.render(f, {"pattern": "row_filter", "table_id": "part", "row_filter": "green"})
+    d = patterns.render(f, {"pattern": "row_filter", "table_id": "part", "row_filter": "widget"})
     return _rounded(d.select("row_index", "col_index", "column_key", "value_num"), "value_num")
 
 
 def _series(order: str, sql_order: str):
     def run(spark, sf):
-        return _rounded(patterns.render(customer_facts(spark, sf), {"pattern": "column_series", "table_id": "customer", "column_key": "c_acctbal", "order": order}), "value")
+        return _rounded(patterns.render(partial(customer_facts, spark, sf), {"pattern": "column_series", "table_id": "customer", "column_key": "c_acctbal", "order": order}), "value")
 
     QUERIES[f"column_series_{order}"] = run
     ORACLE_SQL[f"column_series_{order}"] = f"SELECT c_name AS label, round(max(c_acctbal), 2) AS value, CAST(NULL AS VARCHAR) AS unit FROM customer WHERE c_acctbal IS NOT NULL GROUP BY c_name ORDER BY {sql_order} LIMIT 500"
@@ -103,7 +107,7 @@ for _o, _s in (("desc", "max(c_acctbal) DESC, label"), ("asc", "max(c_acctbal),
 
 @query("SELECT l_returnflag AS label, round(max(l_quantity), 2) AS l_quantity, round(max(l_extendedprice), 2) AS l_extendedprice, round(max(l_tax), 2) AS l_tax FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 500")
 def comparison(spark, sf):
-    d = patterns.render(lineitem_facts(spark, sf), {"pattern": "comparison", "table_id": "lineitem", "column_keys": ["l_quantity", "l_extendedprice", "l_tax"]})
+    d = patterns.render(partial(lineitem_facts, spark, sf), {"pattern": "comparison", "table_id": "lineitem", "column_keys": ["l_quantity", "l_extendedprice", "l_tax"]})
     return _rounded(d, "l_quantity", "l_extendedprice", "l_tax")
 
 
@@ -196,6 +200,19 @@ def parse_cell(spark, sf):
     return _rounded(d.select("p_partkey", "cell.value_num", "cell.unit", "cell.value_type"), "value_num")
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'ambiguous' ELSE 'number' END AS value_type,
+  CASE WHEN p_partkey % 5 = 3 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 5 = 4 THEN CAST(p_size AS DOUBLE) END AS value_num,
+  CASE p_partkey % 5 WHEN 1 THEN 'range' WHEN 2 THEN 'inequality' WHEN 3 THEN 'approximate' WHEN 4 THEN 'multi_value' END AS parse_note FROM part""")
+def parse_unsure_cells(spark, sf):
+    """Cells that name nothing, a range, a bound, an estimate or several values."""
+    n = F.col("p_size").cast("string")
+    kinds = [F.lit("n/a"), F.concat(n, F.lit("-"), (F.col("p_size") + 1).cast("string")), F.concat(F.lit("<"), n), F.concat(F.lit("~"), n), F.concat(n, F.lit(" / "), (F.col("p_size") + 1).cast("string"))]
+    raw = F.get(F.array(*kinds), (F.col("p_partkey") % 5).cast("int"))
+    d = parse_cells(_t(spark, sf, "part").select("p_partkey", raw.alias("raw")))
+    return _rounded(d.select("p_partkey", "cell.value_type", "cell.value_num", "cell.parse_note"), "value_num")
+
+
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS value_date, 'date' AS value_type FROM orders""")
 def parse_dates(spark, sf):
     forms = ["yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy", "yyyy/M/d"]
@@ -209,12 +226,14 @@ def sanitize_column_keys(spark, sf):
 
 
 @query("""
-WITH k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part WHERE p_partkey <= 40)
+WITH k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_partkey // 40, p_brand ORDER BY p_partkey) AS i FROM part)
 SELECT CAST(p_partkey AS BIGINT) AS p_partkey, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') || CASE WHEN i > 1 THEN '_' || i ELSE '' END AS key FROM k""")
 def sanitize_keys_numbered(spark, sf):
-    """Headers of one table 40 columns wide, the feature being its width."""
-    one = _t(spark, sf, "part").where("p_partkey <= 40").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("c"))
-    return one.select("c", sanitize_keys(F.transform("c", lambda x: x["p_brand"])).alias("k")).select(F.explode(F.arrays_zip(F.col("c.p_partkey").alias("p"), F.col("k").alias("k"))).alias("z")).select(F.col("z").getField("p").alias("p_partkey"), F.col("z").getField("k").alias("key"))
+    """All parts' brands as headers, a table of 40 columns for each run of 40 keys."""
+    heads = _t(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("t")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("c"))
+    keyed = heads.select("c", sanitize_keys(F.transform("c", lambda x: x["p_brand"])).alias("k"))
+    z = F.explode(F.arrays_zip(F.col("c.p_partkey").alias("p"), F.col("k").alias("k"))).alias("z")
+    return keyed.select(z).select(F.col("z").getField("p").cast("long").alias("p_partkey"), F.col("z").getField("k").alias("key"))
 
 
 @query("SELECT DISTINCT c_mktsegment, 'INR' AS unit, 10000000.0 AS scale FROM customer")
@@ -281,14 +300,57 @@ def page_offset_join(spark, sf):
     return tables.page_of_offset(offsets, spans, "doc_id")
 
 
-@query("SELECT page_id, 'Guide > Part' AS heading_context, 'Guide' AS section FROM pages")
+_HEADS = "regexp_extract(translate(replace(html, chr(10), ' '), '#', ''), '<{0}>(.*?)</{0}>', 1)"
+
+
+@query(f"""
+WITH h AS (SELECT page_id, trim({_HEADS.format('title')}) AS t, trim({_HEADS.format('h1')}) AS h FROM pages)
+SELECT page_id, concat_ws(' > ', nullif(t, ''), nullif(h, '')) AS heading_context, split_part(concat_ws(' > ', nullif(t, ''), nullif(h, '')), ' > ', 1) AS section FROM h""")
 def heading_context(spark, sf):
-    md = F.concat(F.lit("# Guide\n\n## Old\n### Deep\n\n## Part\n\n"), F.coalesce("html", F.lit("")))
-    at = F.lit(len("# Guide\n\n## Old\n### Deep\n\n## Part\n\n"))
-    d = _t(spark, sf, "pages").select("page_id", chunks.heading_context(md, at).alias("heading_context"))
+    """Whole pages with titles and headings as markdown; the headings in force at their ends."""
+    md = F.translate(F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit(" ")), "#", "")
+    for tag, mark in (("title", "# "), ("h1", "## ")):
+        md = F.replace(F.replace(md, F.lit(f"<{tag}>"), F.lit(f"\n{mark}")), F.lit(f"</{tag}>"), F.lit("\n"))
+    d = _t(spark, sf, "pages").select("page_id", md.alias("md"))
+    d = d.select("page_id", chunks.heading_context(F.col("md"), F.length("md")).alias("heading_context"))
     return d.withColumn("section", chunks.section(F.col("heading_context")))
 
 
+@query("""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, 1 AS page, CAST(15 AS INT) AS page_start, CAST(15 + n AS INT) AS page_end FROM d
+UNION ALL SELECT doc_id, 2, CAST(30 + n AS INT), CAST(30 + 2 * n AS INT) FROM d""")
+def page_spans(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("<!-- PAGE 1 -->"), text, F.lit("<!-- PAGE 2 -->"), text).alias("markdown"))
+    return tables.page_spans(d).select("doc_id", F.col("page").cast("int").alias("page"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role <> '' THEN role || chr(10) || chr(10) || text ELSE text END AS embedded FROM conversations")
+def embedded_text(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", chunks.embed_text(F.col("role"), F.col("text")).alias("embedded"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+f AS (SELECT n_regionkey, 0 AS table_index, i AS row_index, n_name AS row_label, CAST(n_nationkey AS DOUBLE) AS value_num, CASE WHEN i < 3 THEN 1 ELSE 2 END AS page_number FROM r
+  UNION ALL SELECT DISTINCT n_regionkey, 1, 0, '2020', 5.0, 2 FROM nation),
+n AS (SELECT n_regionkey, CAST(2 * (count(*) + 1) AS INT) AS fact_count FROM nation GROUP BY 1)
+SELECT 'region' || n_regionkey AS document_id, table_index, CAST(row_index AS INT) AS row_index, row_label, value_num, page_number, 'completed' AS status, 2 AS page_count, 2 AS table_count, fact_count,
+  n_regionkey || '.pdf' AS original_filename FROM f JOIN n USING (n_regionkey)""")
+def ingest_end_to_end(spark, sf):
+    """A file a region through the whole ingest: recognised, extracted, typed, registered, chunked; read back from the store."""
+    pages = region_pages(spark, sf).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("number", "markdown"))).alias("p"))
+    body = F.array_join(F.transform("p", lambda x: x["markdown"]), "\f")
+    files = pages.select(F.concat(F.lit("/in/"), "document_id", F.lit(".pdf")).alias("path"), F.concat(F.lit("region"), "document_id").alias("file_hash"), F.encode(body, "UTF-8").alias("content"))
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/store-{uuid.uuid4().hex}"
+    ingest.ingest_batch(files, root)
+    f, reg, docs = (ingest.read_table(spark, root, n) for n in ("document_facts", "table_registry", "documents"))
+    cells = f.where("column_key in ('key', 'total')").select("document_id", "table_id", "table_index", "row_index", "row_label", "value_num", "page_number")
+    cells = cells.join(reg.select("table_id", "original_filename"), "table_id").join(docs.select(F.col("id").alias("document_id"), "status", "page_count", "table_count", "fact_count"), "document_id")
+    return _rounded(cells.drop("table_id"), "value_num")
+
+
 # Catalogue and documents --------------------------------------------------------------
 
 def document_registry(spark, sf) -> DataFrame:
@@ -381,6 +443,24 @@ def set_status(spark, sf):
     return catalog.set_status(d, 3, "completed", chunk_count=5).select("id", "status", "chunk_count")
 
 
+@query("SELECT source AS table_id, source AS document_id, CAST(0 AS INT) AS table_index FROM documents WHERE source IN (SELECT max(source) FROM documents) GROUP BY 1")
+def registry_of_document(spark, sf):
+    r = document_registry(spark, sf).withColumns({"document_id": F.col("table_id"), "table_index": F.lit(0)})
+    last = _t(spark, sf, "documents").agg(F.max("source")).first()[0]
+    return catalog.table_list(r, [last])
+
+
+@query("""
+WITH h AS (SELECT source, count(*) AS hits FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['the']) GROUP BY 1),
+r AS (SELECT source, count(*) AS row_count, max(doc_id) AS created_at FROM documents WHERE source IN (SELECT max(source) FROM documents) GROUP BY 1)
+SELECT r.source AS table_id, row_count, coalesce(hits, 0) AS hits FROM r LEFT JOIN h USING (source)""")
+def catalog_of_document(spark, sf):
+    f = _t(spark, sf, "documents").select(F.col("source").alias("table_id"), catalog.words_of(F.col("text")).alias("fts"))
+    r = document_registry(spark, sf).withColumn("document_id", F.col("table_id"))
+    last = _t(spark, sf, "documents").agg(F.max("source")).first()[0]
+    return catalog.candidates(r, f, ["the"], [last]).select("table_id", "row_count", "hits")
+
+
 # Chunks and vectors -------------------------------------------------------------------
 
 @query("SELECT doc_id, left(sha256(source || ':0:' || left(text, 500)), 32) AS id FROM documents WHERE text IS NOT NULL")
@@ -400,6 +480,7 @@ def source_snippet(spark, sf):
 
 @query()
 def embed_offline(spark, sf):
+    """Vectors of all documents; the embedding itself takes a text's first 12,000 characters, as models do."""
     return search.embed(_t(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dimensions"))
 
 
@@ -442,25 +523,68 @@ def vector_retry(spark, sf):
 # Shapes -----------------------------------------------------------------------------------
 
 @query("""
-SELECT 0 AS position, 'p_partkey' AS name, 'numeric' AS kind, count(*) AS "rows", count(*) - count(p_partkey) AS nulls, count(DISTINCT p_partkey) AS "distinct", 0 AS decimals FROM part
-UNION ALL SELECT 1, 'p_brand', 'categorical', count(*), count(*) - count(p_brand), count(DISTINCT p_brand), 0 FROM part
-UNION ALL SELECT 2, 'p_size', 'numeric', count(*), count(*) - count(p_size), count(DISTINCT p_size), 0 FROM part""")
+SELECT 0 AS position, 'p_partkey' AS name, 'numeric' AS kind, count(*) AS "rows", count(*) - count(p_partkey) AS nulls, coalesce(min(p_partkey) = max(p_partkey), false) AS constant, count(DISTINCT p_partkey) AS "distinct", 0 AS decimals FROM part
+UNION ALL SELECT 1, 'p_brand', 'categorical', count(*), count(*) - count(p_brand), coalesce(min(p_brand) = max(p_brand), false), count(DISTINCT p_brand), 0 FROM part
+UNION ALL SELECT 2, 'p_size', 'numeric', count(*), count(*) - count(p_size), coalesce(min(p_size) = max(p_size), false), count(DISTINCT p_size), 0 FROM part""")
 def describe_columns(spark, sf):
     return shape.column_stats(_t(spark, sf, "part").select("p_partkey", "p_brand", "p_size"))
 
 
-@query("SELECT * FROM (VALUES ('few', 'bar', 'R8_bar'), ('some', 'bar_horizontal', 'R9_bar_horizontal'), ('time', 'line', 'R6_temporal_line'), ('one', 'scalar', 'R2_scalar'), ('cut', 'table', 'R5_unordered_truncation'), ('top', 'bar', 'R8_bar'), ('none', 'empty', 'R1_empty')) t(shape, type, rule)")
+_BARS = "CASE WHEN n < 2 THEN 'R14_default' WHEN n <= 25 THEN 'R8_bar' WHEN n <= 60 THEN 'R9_bar_horizontal' ELSE 'R9_too_many_categories' END"
+_GROUPED = "CASE WHEN n < 2 THEN 'R14_default' WHEN n <= 15 THEN 'R10_bar_grouped' ELSE 'R10_grouped_too_large' END"
+_LINE = "CASE WHEN n < 2 THEN 'R14_default' WHEN n > 500 THEN 'R6_too_many_points' ELSE 'R6_temporal_line' END"
+_SIZES = (
+    ("few", "count(DISTINCT o_orderpriority) AS n FROM orders", _BARS), ("some", "count(DISTINCT c_nationkey || '-' || (c_acctbal > 4500)) AS n FROM customer", _BARS),
+    ("many", "count(DISTINCT c_nationkey || '-' || c_mktsegment) AS n FROM customer", _BARS), ("years", "count(DISTINCT date_trunc('year', o_orderdate)) AS n FROM orders", _LINE),
+    ("days", "count(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders", _LINE), ("pairs", "count(DISTINCT o_orderpriority) AS n FROM orders", _GROUPED),
+    ("wide pairs", "count(DISTINCT c_nationkey) AS n FROM customer", _GROUPED), ("dots", "count(DISTINCT c_nationkey) AS n FROM customer", "CASE WHEN n >= 10 THEN 'R12_scatter' ELSE 'R14_default' END"),
+    ("dots of five", "count(DISTINCT n_regionkey) AS n FROM nation", "CASE WHEN n >= 10 THEN 'R12_scatter' ELSE 'R14_default' END"),
+    ("long text", "length(string_agg(DISTINCT c_name, ', ')) AS n FROM customer", "CASE WHEN n > 200 THEN 'R2_scalar_too_long' ELSE 'R2_scalar' END"),
+)
+_FIXED = (("one", "R2_scalar"), ("cut", "R5_unordered_truncation"), ("top", "R8_bar"), ("none", "R1_empty"), ("six lines", "R7_series_cap"), ("wide", "R3_too_wide"), ("names", "R13_no_measures"))
+
+
+@query(" UNION ALL ".join([f"SELECT '{k}' AS shape, {rule} AS rule FROM (SELECT {n})" for k, n, rule in _SIZES] + [f"SELECT '{k}', '{rule}'" for k, rule in _FIXED]))
 def classify_shapes(spark, sf):
-    o, n = _t(spark, sf, "orders"), _t(spark, sf, "nation")
-    by = o.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("total"))
-    days = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
-    some = _t(spark, sf, "customer").groupBy("c_custkey").agg(F.max("c_name").alias("name"), F.sum("c_acctbal").alias("balance")).orderBy("c_custkey").limit(40).select("name", "balance")
+    """Results of whole tables that call each rule; which one follows from their sizes."""
+    o, n, c = _t(spark, sf, "orders"), _t(spark, sf, "nation"), _t(spark, sf, "customer")
+    total, balance = F.sum("o_totalprice").alias("total"), F.sum("c_acctbal").alias("balance")
+    year, day = F.trunc("o_orderdate", "year").alias("year"), F.to_date("o_orderdate").alias("day")
+    mean = F.avg("c_acctbal").alias("mean")
     cases = {
-        "few": by, "some": some, "time": days.groupBy(F.trunc("day", "year").alias("year")).agg(F.sum("total").alias("total")), "one": o.agg(F.sum("o_totalprice").alias("total")),
+        "few": o.groupBy("o_orderpriority").agg(total), "some": c.groupBy(F.concat_ws("-", "c_nationkey", F.col("c_acctbal") > 4500).alias("kind")).agg(balance), "many": c.groupBy(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("kind")).agg(balance),
+        "years": o.groupBy(year).agg(total), "days": o.groupBy(day).agg(total), "six lines": o.groupBy(year).agg(*[F.sum(F.col("o_totalprice") * i).alias(f"m{i}") for i in range(1, 7)]),
+        "pairs": o.groupBy("o_orderpriority").agg(total, F.avg("o_totalprice").alias("mean")), "wide pairs": c.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("kind")).agg(balance, mean),
+        "dots": c.groupBy("c_nationkey").agg(balance, mean).drop("c_nationkey"), "dots of five": n.groupBy("n_regionkey").agg(F.sum("n_nationkey").alias("a"), F.max("n_nationkey").alias("b")).drop("n_regionkey"),
+        "long text": c.agg(F.array_join(F.collect_set("c_name"), ", ").alias("names")), "one": o.agg(total), "wide": o.agg(*[F.sum(F.col("o_totalprice") * i).alias(f"m{i}") for i in range(13)]), "names": n.select("n_name", F.upper("n_name").alias("upper")),
         "cut": n.select("n_name", F.col("n_regionkey").alias("v")).limit(5), "top": n.select("n_name", F.col("n_nationkey").alias("v")).orderBy("n_name").limit(5), "none": n.where("n_nationkey < 0").select("n_name"),
     }
-    rows = [(k, a["type"], a["classifier"]["rule"]) for k, d in cases.items() for a in shape.build_artifact(d)]
-    return spark.createDataFrame(rows, "shape string, type string, rule string")
+    rows = [(k, a["classifier"]["rule"]) for k, d in cases.items() for a in shape.build_artifact(d)]
+    return spark.createDataFrame(rows, "shape string, rule string")
+
+
+@query("SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total, CAST(row_number() OVER (ORDER BY sum(o_totalprice) DESC) - 1 AS INT) AS place FROM orders GROUP BY 1")
+def artifact_records(spark, sf):
+    """The records of a bar chart, in its order."""
+    (a,) = shape.build_artifact(_t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total")))
+    return spark.createDataFrame([(r["o_orderpriority"], float(r["total"]), i) for i, r in enumerate(a["data"])], "o_orderpriority string, total double, place int")
+
+
+@query("""
+SELECT 0 AS position, 'p_brand' AS name, 'dimension' AS role, count(*) AS n FROM part
+UNION ALL SELECT 1, 'row_index', 'identifier', count(*) FROM part
+UNION ALL SELECT 2, 'p_size', CASE WHEN min(p_size) = max(p_size) THEN 'constant' ELSE 'measure' END, count(*) FROM part
+UNION ALL SELECT 3, 'one', 'constant', count(*) FROM part UNION ALL SELECT 4, 'nothing', 'empty_measure', count(*) FROM part""")
+def column_roles(spark, sf):
+    d = _t(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("row_index"), "p_size", F.lit(1).alias("one"), F.lit(None).cast("int").alias("nothing"))
+    stats = shape.column_stats(d, exact=False).collect()
+    return spark.createDataFrame([(r.position, r.name, shape.role_of(r.name, r.kind, r.rows, r.nulls, r.constant), r.rows) for r in stats], "position int, name string, role string, n long")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000")
+def row_cap(spark, sf):
+    """The outermost cap on free-form results; the cap is the feature."""
+    return validate.enforce_limit(_t(spark, sf, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey"))
 
 
 @query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false), (7, true)) t(id, ok)")
@@ -488,9 +612,19 @@ s AS (SELECT conv_id, turn, {_sql_count(route.SQL_WORDS)} + CAST(regexp_matches(
   ({_sql_count(route.PRINTED_WORDS)}) > 0 OR regexp_matches(t, '{_B}figure\\s*[0-9]') AS printed, ({_sql_count(route.STRONG_WORDS)}) > 0 AS strong FROM c)
 SELECT conv_id, turn, sql, rag, viz, CASE WHEN sql >= 2 AND rag = 0 THEN 'SQL' WHEN rag >= 2 AND sql = 0 THEN 'RAG' WHEN sql = 1 AND rag = 0 AND strong THEN 'SQL' WHEN viz > 0 AND sql >= 1 AND rag = 0 AND NOT printed THEN 'SQL' END AS route FROM s""")
 def route_signals(spark, sf):
-    d = _t(spark, sf, "conversations")
-    s = route.signals(F.col("text"))
-    return d.select("conv_id", "turn", s["sql"].alias("sql"), s["rag"].alias("rag"), s["viz"].alias("viz"), route.route_of(F.col("text")).alias("route"))
+    d = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return route.with_route(d, "text").select("conv_id", "turn", "sql", "rag", "viz", "route")
+
+
+def _sql_any(words) -> str:
+    return f"regexp_matches(t, '{route.word_pattern('|'.join(words))}')"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations)
+SELECT conv_id, turn, NOT (({_sql_any(route.STANDALONE_WORDS)} OR regexp_matches(t, '{_B}explain{_E}.*(the|a){_E}')) AND NOT ({_sql_any(route.FOLLOWUP_WORDS)} OR regexp_matches(t, '^(how|why|when|where)'))) AS followup FROM c""")
+def followups(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", route.is_followup(F.col("text")).alias("followup"))
 
 
 @query("SELECT session_id, turn, role, left(content, 2000) AS content FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 12")
