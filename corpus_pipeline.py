@@ -1,7 +1,13 @@
 """A corpus pipeline: toxicity, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
-``run`` writes each stage's result as Parquet into the shared folder and rereads it.
+``run`` writes each stage's result as Parquet into the shared folder, rereads it and
+deletes what the stage made on its way.
+
+Defined cases: null texts count as empty and stay null; rows without an id or a source
+are kept and mixed like others; rows that share an id are one document to the near
+duplicates and one row of the first kind that comes; equal rows are mixed alike; an empty
+table gives no rows; columns other than those of documents are not read.
 """
 
 from __future__ import annotations
@@ -10,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import mixing, neardup, packing, pii, toxicity
-from gridmill.llm.common import materialize, table
+from gridmill.llm.common import materialize, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.7
-#: Most rows of a table that is broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most ids, and most rows with sources, that are broadcast (about 10 MB); more are joined by shuffles.
+BROADCAST_IDS, BROADCAST_ROWS = 500_000, 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component, that of the least id; rows without an id all stay."""
     found = neardup.near_duplicates(docs)
     gone = materialize(found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct())
-    few = gone.count() <= BROADCAST_ROWS
+    few = gone.count() <= BROADCAST_IDS
     kept = docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     twice = found.where("kept and id is not null").groupBy("id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +53,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each row as the mix asks for, none included."""
     docs = docs.select(*COLUMNS).withColumn("_size", packing.word_count())
-    copies = materialize(mixing.mix(docs, F.col("_size")).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies").where("copies > 0"))
+    mixed = mixing.mix(docs, F.col("_size")).where("copies > 0")
+    copies = materialize(mixed.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies"))
     few = copies.count() <= BROADCAST_ROWS
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (docs["_size"] == F.col("_words"))
     rows = docs.join(F.broadcast(copies) if few else copies, same)
@@ -70,6 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return docs
+    with scratch(spark) as keep_last:
+        for _, stage in STAGES:
+            with scratch(spark) as keep:
+                docs = keep(stage(spark, docs, sf_dir))
+        return keep_last(docs)
