@@ -23,7 +23,8 @@ and only buckets that still hold two classes are compared whole, in pairs of blo
 
 Defined cases: null text = empty text; two empty texts have likeness 1, an empty
 and a non-empty one 0; equal texts have equal fingerprints; repeated ids stay
-separate rows, each its own class by its least row; empty texts are a class each.
+separate rows but are one document to the classes; empty texts share a class with each
+other only, rows without an id with equal texts only.
 """
 
 from __future__ import annotations
@@ -211,8 +212,7 @@ def near_classes(prints: DataFrame, id_col: str = "id", min_likeness: float = NE
 
 
 def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
-    each = prints.groupBy("fingerprint").agg(F.min(id_col).alias("low"))
-    reps = materialize(each.withColumn("id", F.monotonically_increasing_id()))
+    reps = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("id")))
     bands = _coordinates()
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 
@@ -225,7 +225,7 @@ def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
                 own = np.ascontiguousarray(m[:, at]).view("<u8").astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(joined([np.full(len(ids), k, np.uint64), own[:, 0], own[:, 1]]).view(np.int64)), pa.array(ids)], schema=schema)
 
-    rows = reps.where("fingerprint <> '-'").select("id", "fingerprint").mapInArrow(banded, "key long, id long")
+    rows = reps.where("fingerprint <> '-' and id is not null").select("id", "fingerprint").mapInArrow(banded, "key long, id long")
     shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     rows = materialize(rows.join(shared, "key"))
     stars = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -244,9 +244,7 @@ def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
     more = by_key(in_blocks(left, "key", BLOCK, "fingerprint"), ["id", "comp", "side", "fingerprint"], work)
     links = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     comp = connected_components(links)
-    named = materialize(reps.join(comp, "id", "left").select("fingerprint", "low", F.coalesce("component", "id").alias("comp")))
-    lows = named.groupBy("comp").agg(F.min("low").alias("near_class"))
-    return named.join(lows, "comp").select("fingerprint", "near_class")
+    return reps.join(comp, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("near_class"))
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
