@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 #: Most partitions of a work list.
 MOST_TASKS = 50_000
+#: A key with more than one in SHARES of a join's rows is dealt to several tasks.
+SHARES = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +132,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(max(1, min(df.count(), MOST_TASKS)), *keys)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, by: str) -> DataFrame:
+    """``rows`` joined to ``side``, no task with more than about one in SHARES of ``total`` rows of a key.
+
+    ``side`` has one row a key, columns without nulls, and in ``_n`` the key's rows. A key
+    with more than its share is cut into parts by ``by``, its row of ``side`` repeated for
+    each. Such keys are broadcast: there are at most a few times SHARES, whatever the size.
+    """
+    share = max(1, total // SHARES)
+    parts = F.when(F.col("_n") > share, F.ceil(F.col("_n") / share)).otherwise(1).cast("int")
+    hot = F.col("_n") > share
+    for c in side.columns:  # reads every column, so that both uses of ``side`` share one shuffle
+        hot = hot & F.col(c).isNotNull()
+    dealt = rows.join(F.broadcast(side.where(hot).select(*keys, parts.alias("_parts"))), keys, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    side = side.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    return dealt.join(side, [*keys, "_part"]).drop("_part")
+
+
 def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
     """Map each batch to columns by ``make(batch)`` and type them by ``schema``."""
     for b in rows:

@@ -1,9 +1,9 @@
 """Connected components of an edge table, all on executors.
 
 Alternates large-star and small-star steps (Kiveris et al. 2014). Each step is a
-minimum per vertex (combined before the shuffle) joined back to the edges, so a
-hub with a third of all edges neither gathers a list nor meets in one task: the
-join is a plain one that adaptive execution may split.
+minimum per vertex (combined before the shuffle) joined back to the edges by
+``spread_join``, so a hub with a third of all edges neither gathers a list nor meets in
+one task.
 """
 
 from __future__ import annotations
@@ -11,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v; the result keeps that form, perhaps with repeats."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u > v")
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with u > v, perhaps with repeats, and the vertex ``w`` that each came by."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+    out = spread_join(both.where("v > u"), low, ["u"], 2 * total, "v")
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w")).where("u > v")
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with u > v, perhaps with repeats; repeated edges of a hub differ in ``w``, which deals them."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    out = spread_join(edges, low, ["u"], total, "w").where("v > m")
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,4 +41,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = tuple(mark)
-        now = materialize(_star(_star(now, True), False).distinct())
+        now = materialize(_small_star(_large_star(now, mark[0]), mark[0]).distinct())

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import materialize, scratch, small_batches, spread_join
 from .components import connected_components
 from .groups import Unions, by_key, in_blocks, mixed
 from .words import joined
@@ -226,12 +226,12 @@ def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(joined([np.full(len(ids), k, np.uint64), own[:, 0], own[:, 1]]).view(np.int64)), pa.array(ids)], schema=schema)
 
     rows = reps.where("fingerprint <> '-' and id is not null").select("id", "fingerprint").mapInArrow(banded, "key long, id long")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    rows = materialize(rows.join(shared, "key"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("_n")).where("a <> z").select("key", "a", "_n")
+    rows = materialize(spread_join(rows, shared, ["key"], len(bands) * reps.count(), "id"))
     stars = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     first = materialize(connected_components(_verified(stars, reps, least)))
     named = rows.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    left = materialize(mixed(named)).join(reps.select("id", "fingerprint"), "id").withColumn("n", F.lit(0))
+    left = materialize(mixed(named, rows.count())).join(reps.select("id", "fingerprint"), "id").withColumn("n", F.lit(0))
 
     def work(ids, comps, sides, prints):
         u, m, c, side = Unions(), _matrix(prints), np.array(comps), np.array(sides)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join
+
 #: Shingles, or other units of size, of a block's rows.
 BLOCK_SIZE = 2_000_000
 
@@ -30,11 +32,12 @@ class Unions:
         return x != y
 
 
-def in_blocks(rows: DataFrame, by: str, block: int, payload: str) -> DataFrame:
+def in_blocks(rows: DataFrame, by: str, block: int, payload: str, total: int | None = None) -> DataFrame:
     """Rows (id, comp, n, payload) keyed by pairs of blocks of their group ``by``, with their side there.
 
     One that fits a block keeps one key. Of a larger one the largest component's blocks
     (side 1) each meet all blocks of the rest (side 2), and those meet each other (side 0).
+    ``total`` is the number of rows, or more; they are counted if it is not known.
     """
     def blocks(count, sizes):
         return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(count) / block, F.col(sizes) / BLOCK_SIZE))).cast("int")
@@ -42,8 +45,8 @@ def in_blocks(rows: DataFrame, by: str, block: int, payload: str) -> DataFrame:
     sizes = rows.groupBy(by, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     sizes = sizes.groupBy(by).agg(F.max(F.struct("m", "comp", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
     sizes = sizes.select(by, F.col("top.comp").alias("top"), F.col("top.m").alias("m1"), F.col("top.w").alias("w1"), (F.col("m") - F.col("top.m")).alias("m2"), (F.col("w") - F.col("top.w")).alias("w2"), "m", "w")
-    sizes = sizes.select(by, "top", blocks("m", "w").alias("b0"), blocks("m1", "w1").alias("b1"), blocks("m2", "w2").alias("b2"))
-    rows = rows.join(sizes, by)
+    sizes = sizes.select(by, "top", blocks("m", "w").alias("b0"), blocks("m1", "w1").alias("b1"), blocks("m2", "w2").alias("b2"), F.col("m").alias("_n"))
+    rows = spread_join(rows, sizes, [by], rows.count() if total is None else total, "id")
     major = F.col("comp") == F.col("top")
     at = F.pmod(F.xxhash64("id"), F.when(major, F.col("b1")).otherwise(F.col("b2"))).cast("int")
     rows = rows.withColumn("at", at)
@@ -95,7 +98,8 @@ def by_key(rows: DataFrame, columns: list[str], work, distinct: bool = True) ->
     return out.distinct() if distinct else out
 
 
-def mixed(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold two components at least, with the node's size."""
-    nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
-    return rows.drop("size").join(nodes, "key")
+def mixed(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of nodes that hold two components at least, with the node's size; ``total`` rows at most."""
+    nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    nodes = nodes.select("key", "size", F.col("size").alias("_n"))
+    return spread_join(rows.drop("size"), nodes, ["key"], total, "id")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, scratch, small_batches
+from .common import batches, materialize, scratch, small_batches, spread_join
 from .components import connected_components
 from .groups import Unions, by_key, in_blocks, mixed
 from .words import shingle_set
@@ -229,13 +229,13 @@ def _renamed(pairs: DataFrame, names: DataFrame, column: str) -> DataFrame:
     return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
 
 
-def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _candidates(nodes: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
     """Pairs of components that meet near each other in a node; the largest nodes branch on first."""
-    rows = materialize(mixed(nodes).join(reps.select("id", "sketch"), "id").withColumn("n", F.lit(0)))
+    rows = materialize(mixed(nodes, total).join(reps.select("id", "sketch"), "id").withColumn("n", F.lit(0)))
 
     def compared(part: DataFrame) -> DataFrame:
         small = part.where(F.col("size") <= NODE_BLOCK).select("key", F.lit(0).alias("side"), "id", "comp", "sketch")
-        return _node_pairs(small.unionByName(in_blocks(part.where(F.col("size") > NODE_BLOCK), "key_", NODE_BLOCK, "sketch")), percent)
+        return _node_pairs(small.unionByName(in_blocks(part.where(F.col("size") > NODE_BLOCK), "key_", NODE_BLOCK, "sketch", total)), percent)
 
     rows = rows.withColumn("key_", F.col("key"))
     few = F.col("size") <= NODE_BLOCKS * NODE_BLOCK
@@ -245,8 +245,9 @@ def _candidates(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         if large.isEmpty():
             return out
         first = TREES + 2 * (LEVELS * F.col("tree") + level)  # the tree's own pair of coordinates
+        total *= 2
         child = [F.xxhash64("key", F.lit(i), F.substring("sketch", 2 * (first + i) + 1, F.lit(2))) for i in (0, 1)]
-        rows = materialize(mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "n", "sketch"))).withColumn("key_", F.col("key"))
+        rows = materialize(mixed(large.select(F.explode(F.array(*child)).alias("key"), "tree", "id", "comp", "n", "sketch"), total)).withColumn("key_", F.col("key"))
         out = out.unionByName(compared(rows.where(few)))
     return out.unionByName(compared(rows.where(~few)))
 
@@ -266,15 +267,15 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_sets(docs, size))
     sets = rows.where("key is not null and id is not null")
-    groups = sets.groupBy("key").agg(F.min("id").alias("rep"))
-    reps = materialize(sets.join(groups.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "n", "mins", "sketch"))
+    groups = sets.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
+    reps = materialize(sets.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "n", "mins", "sketch"))
     tokens = reps.select("id", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "tree", "id")
-    nodes = tokens.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    tokens = materialize(tokens.join(nodes, "key"))
+    nodes = tokens.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("_n")).where("a <> z").select("key", "a", "_n")
+    tokens = materialize(spread_join(tokens, nodes, ["key"], TREES * reps.count(), "id"))
     stars = tokens.where("a <> id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= MEETINGS).select("a", "b")
     stars = materialize(_near_pairs(stars, reps, percent))
     # Rows that share an id are one document even if their sets differ.
-    same_id = sets.select(F.col("id").alias("b"), "key").join(groups, "key").select(F.col("rep").alias("a"), "b").where("a <> b")
+    same_id = spread_join(sets.select(F.col("id").alias("b"), "key"), groups, ["key"], rows.count(), "b").select(F.col("rep").alias("a"), "b").where("a <> b")
     first = materialize(connected_components(confirm(docs, stars, percent, size).unionByName(same_id.distinct())))
     # Components that a near but unconfirmed pair connects are one group from here on: a
     # node that holds a single group has nothing to add.
@@ -282,7 +283,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     group = materialize(connected_components(open_pairs))
     left = tokens.select("key", "tree", "id").join(first, "id", "left").select("key", "tree", "id", F.coalesce("component", "id").alias("c"))
     left = left.join(group.withColumnsRenamed({"id": "c", "component": "g"}), "c", "left").select("key", "tree", "id", F.coalesce("g", "c").alias("comp"))
-    more = materialize(_candidates(left, reps, percent).distinct())
+    more = materialize(_candidates(left, reps, percent, tokens.count()).distinct())
     if not more.isEmpty():
         group = materialize(connected_components(open_pairs.unionByName(more)))
     links = _links(docs, reps, first, group.withColumnsRenamed({"id": "comp", "component": "group"}), percent, size)

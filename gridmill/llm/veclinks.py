@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import materialize, scratch, small_batches, spread_join
 from .components import connected_components
 
 SHARED = 32
@@ -226,8 +226,9 @@ def _vector_links(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosi
     own = materialize(own.mapInArrow(decode, f"cid long, label {classes.schema['label'].dataType.simpleString()}, n long, v {classes.schema['v'].dataType.simpleString()}, filters array<int>"))
     bucket = ["filter", "label", "dim"]
     member = own.select("cid", "label", F.size("v").alias("dim"), F.explode("filters").alias("filter"))
-    sizes = member.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    put = member.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    total = own.agg(F.sum(F.size("filters"))).first()[0] or 0
+    sizes = member.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("_n", F.col("size"))
+    put = spread_join(member, sizes, bucket, total, "cid").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     put = put.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     put = put.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     put = put.select("cid", *bucket, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
@@ -237,8 +238,8 @@ def _vector_links(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosi
     linked = found.select(F.col("cid").alias("a"), F.col("peer").alias("b"))
     comp = connected_components(linked).withColumnRenamed("id", "cid")
     named = materialize(classes.select("key", "cid", "n", "low").join(count, "cid", "left").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
-    out = rows.select("id", "key").join(named, "key").select("id", "n_links", "component_id")
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
+    named = spread_join(named, lows, ["component"], n, "cid").select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id", F.col("n").alias("_n"))
+    out = spread_join(rows.select("id", "key"), named, ["key"], rows.count(), "id").select("id", "n_links", "component_id")
     rest = every.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

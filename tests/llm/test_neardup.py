@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridmill.llm import components, groups, neardup
+from gridmill.llm import common, components, groups, neardup
 from gridmill.llm.words import word_hashes
 
 
@@ -138,6 +139,47 @@ def test_components(spark):
     assert got == {**{i: 1 for i in (1, 2, 3, 4)}, 8: 8, 9: 8, **{i: 20 for i in range(20, 60)}, **{i: 100 for i in range(100, 141)}}
 
 
+@pytest.mark.parametrize("shares", [1, 7, 4096])
+def test_components_of_hubs(spark, monkeypatch, shares):
+    """Hubs of least, greatest and middle id, and random edges, repeated."""
+    monkeypatch.setattr(common, "SHARES", shares)
+    r = random.Random(shares)
+    edges = [(0, i) for i in range(1, 300)] + [(9999, i) for i in range(400, 700)] + [(1500, i) for i in range(1400, 1600)] + [(r.randrange(2000, 3000), r.randrange(2000, 3000)) for _ in range(500)]
+    edges += [(5000, i) for i in range(4000, 4100)] + [(6000, i) for i in range(4000, 4100)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    got = components.connected_components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
+    assert len(got) == len(want) and {x.id: x.component for x in got} == want
+
+
+def test_hot_keys_are_dealt(spark):
+    """A key with a third of all rows reaches many tasks, and each row meets its side once."""
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)] + [(None, 7)], "k long, i long")
+    side = rows.where("k is not null and k <> 3").groupBy("k").agg(F.min("i").alias("low"), F.count("*").alias("_n"))
+    plain = rows.join(side.drop("_n"), "k")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = common.spread_join(rows, side, ["k"], 3001, "i")
+        assert out.columns == plain.columns and sorted(out.collect()) == sorted(plain.collect())
+        held = [x["count"] for x in out.where("k = 0").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(held) == 16 and max(held) < 300
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_words_are_the_contracts():
     r, seen = random.Random(1), {}
     for _ in range(1500):
