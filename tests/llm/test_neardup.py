@@ -161,6 +161,29 @@ def test_components_of_hubs(spark, monkeypatch, shares):
     assert len(got) == len(want) and {x.id: x.component for x in got} == want
 
 
+@pytest.mark.parametrize("limit", [0, 250, 10_000])
+def test_few_edges_are_finished_in_one_task(spark, monkeypatch, limit):
+    """By steps alone, by steps until few edges are left, and without a step."""
+    r = random.Random(4)
+    edges = [(r.randrange(150), r.randrange(150, 300)) for _ in range(300)] + [(i, i + 1) for i in range(400, 460)] + [(-7, -9), (2**62, 3)]
+    steps, step = [], components._large_star
+    monkeypatch.setattr(components, "ONE_TASK", limit)
+    monkeypatch.setattr(components, "_large_star", lambda *x: steps.append(x[1]) or step(*x))
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(up | dict(edges) | {b: a for a, b in edges}) and {x.id: x.component for x in got} == {x: root(x) for e in edges for x in e}
+    assert not steps if limit == 10_000 else steps and min(steps) > limit
+
+
 def test_hot_keys_are_dealt(spark):
     """A key with a third of all rows reaches many tasks, and each row meets its side once."""
     rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)] + [(None, 7)], "k long, i long")
