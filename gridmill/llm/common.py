@@ -132,6 +132,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(max(1, min(df.count(), MOST_TASKS)), *keys)
 
 
+def parts_of(total: int):
+    """Into how many parts a key with ``_n`` of ``total`` rows is cut; more than one for a few times SHARES keys at most."""
+    share = max(1, total // SHARES)
+    return F.when(F.col("_n") > share, F.ceil(F.col("_n") / share)).otherwise(1).cast("int")
+
+
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, by: str) -> DataFrame:
     """``rows`` joined to ``side``, no task with more than about one in SHARES of ``total`` rows of a key.
 
@@ -139,9 +145,8 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, b
     with more than its share is cut into parts by ``by``, its row of ``side`` repeated for
     each. Such keys are broadcast: there are at most a few times SHARES, whatever the size.
     """
-    share = max(1, total // SHARES)
-    parts = F.when(F.col("_n") > share, F.ceil(F.col("_n") / share)).otherwise(1).cast("int")
-    hot = F.col("_n") > share
+    parts = parts_of(total)
+    hot = parts > 1
     for c in side.columns:  # reads every column, so that both uses of ``side`` share one shuffle
         hot = hot & F.col(c).isNotNull()
     dealt = rows.join(F.broadcast(side.where(hot).select(*keys, parts.alias("_parts"))), keys, "left")

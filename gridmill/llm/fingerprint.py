@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches, spread_join
+from .common import materialize, parts_of, scratch, small_batches
 from .components import connected_components
 from .groups import Unions, by_key, in_blocks, mixed
-from .words import joined
+from .words import joined, mix
 
 WALKS = 3
 COORDINATES = 128  # of each walk
@@ -211,23 +211,46 @@ def near_classes(prints: DataFrame, id_col: str = "id", min_likeness: float = NE
         return keep(_near_classes(prints, id_col, _least_equal(min_likeness)))
 
 
-def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
-    reps = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("id")))
+def _banded(reps: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(key, part, id) of every band of every fingerprint; ``hot`` has the keys whose rows are dealt to several parts."""
     bands = _coordinates()
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("id", pa.int64())])
+    keys = np.array(sorted(hot), np.int64)
+    parts = np.array([hot[k] for k in keys.tolist()], np.uint64)
 
-    def banded(it):
+    def run(it):
         for b in it:
             if not b.num_rows:
                 continue
             m, ids = _matrix(b.column("fingerprint").to_pylist()), b.column("id").to_numpy()
             for k, at in enumerate(bands):
                 own = np.ascontiguousarray(m[:, at]).view("<u8").astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(joined([np.full(len(ids), k, np.uint64), own[:, 0], own[:, 1]]).view(np.int64)), pa.array(ids)], schema=schema)
+                key, part = joined([np.full(len(ids), k, np.uint64), own[:, 0], own[:, 1]]).view(np.int64), np.zeros(len(ids), np.int32)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    part = np.where(keys[place] == key, mix(ids.view(np.uint64)) % parts[place], 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids)], schema=schema)
+
+    return reps.where("fingerprint <> '-' and id is not null").select("id", "fingerprint").mapInArrow(run, "key long, part int, id long")
+
+
+def _shared_rows(reps: DataFrame) -> DataFrame:
+    """(key, a, id) of the buckets with several fingerprints, ``a`` the bucket's least id.
 
-    rows = reps.where("fingerprint <> '-' and id is not null").select("id", "fingerprint").mapInArrow(banded, "key long, id long")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("_n")).where("a <> z").select("key", "a", "_n")
-    rows = materialize(spread_join(rows, shared, ["key"], len(bands) * reps.count(), "id"))
+    A bucket with more than its share of rows (``common.parts_of``) is joined in parts. The
+    driver gets these keys and the bands deal their rows, so no join reads rows of all bands.
+    """
+    shared = _banded(reps, {}).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("_n")).where("a <> z")
+    shared = materialize(shared.select("key", "a", "_n"))
+    parts = parts_of(len(_coordinates()) * reps.count())
+    hot = {r.key: r.parts for r in shared.select("key", parts.alias("parts")).where("parts > 1").collect()}
+    side = shared.select("key", "a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return _banded(reps, hot).join(side, ["key", "part"]).select("key", "a", "id")
+
+
+def _near_classes(prints: DataFrame, id_col: str, least: int) -> DataFrame:
+    reps = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("id")))
+    rows = materialize(_shared_rows(reps))
     stars = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     first = materialize(connected_components(_verified(stars, reps, least)))
     named = rows.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))

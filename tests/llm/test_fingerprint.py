@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from gridmill.llm import common, queries
 from gridmill.llm import fingerprint as fp
-from gridmill.llm import queries
 
 
 def _text(r, n):
@@ -109,6 +110,28 @@ def test_near_classes_by_brute_force(spark, monkeypatch):
     assert fp.near_classes(d.limit(0)).count() == 0
 
 
+def test_hot_bands_are_dealt_without_a_join(spark, monkeypatch):
+    """Bands that half of the fingerprints share: each row once with the least id, no row of another band, many parts."""
+    monkeypatch.setattr(common, "SHARES", 400)
+    r = random.Random(3)
+    bands, rows, base = fp._coordinates(), [], "0123456789abcdef" * (fp.WALKS * fp.COORDINATES // 16)
+    for i in range(300):
+        p = "".join(r.choice("0123456789abcdef") for _ in base)
+        rows.append((7 * i, "".join(b if at < 128 else x for at, (b, x) in enumerate(zip(base, p, strict=True))) if i % 2 else p))
+    met = {}
+    for i, p in rows:
+        for k, at in enumerate(bands):
+            met.setdefault((k, "".join(p[x] for x in at)), []).append(i)
+    want = sorted((min(ids), i) for ids in met.values() if len(ids) > 1 for i in ids)
+    reps = spark.createDataFrame(rows, "id long, fingerprint string")
+    out = fp._shared_rows(reps)
+    assert "LeftOuter" not in out._jdf.queryExecution().toString()
+    assert len(want) == 12 * 150 and sorted((x.a, x.id) for x in out.collect()) == want
+    hot = out.groupBy("key").agg(F.count("*").alias("n")).collect()
+    dealt = fp._banded(reps, {x.key: 6 for x in hot}).where(F.col("key").isin([x.key for x in hot])).groupBy("key", "part").count().collect()
+    assert {x.n for x in hot} == {150} and len(dealt) == 72 and max(x["count"] for x in dealt) < 50
+
+
 def test_neighbours_across_ranges(spark):
     ids = [*range(0, 60, 2), None, 7, 7]
     d = spark.createDataFrame([(i, f"text {i} {k}") for k, i in enumerate(ids)], "doc_id long, text string")
